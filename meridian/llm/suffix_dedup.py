@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,16 @@ def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
 
 
+def pages(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text (a longer text is a slice of its own)."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        for page in np.unique(np.cumsum(sizes) // most, return_counts=True)[1].tolist():
+            yield b.slice(at, page)
+            at += page
+
+
 class SuffixArrayFamily:
     """Levels of suffix arrays over anchored slices (group, left, right); each pair of slices is compared once.
 
@@ -247,7 +258,7 @@ def repeated_bytes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = Anchors(length, gram), set()
-        for b in batches:
+        for b in pages(batches):
             keys = b.column(0).to_pylist()
             b = b.filter(pa.array([k not in seen and not seen.add(k) for k in keys], pa.bool_()))
             data, starts, ends = _buffer(b.column(1))
@@ -271,14 +282,14 @@ def repeated_bytes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     touched = again.select("tk").distinct().join(wanted, "tk", "left")
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pages(batches):
             out = []
             for tk, text, want in zip(b.column(0), b.column(1), b.column(2)):
                 raw, tk = text.as_py(), tk.as_py()
                 out.append((tk, raw, None, None, None, None))
                 out.extend((tk, None, w["gram"], w["ctx"], raw[max(0, w["pos"] - spread) : w["pos"]], raw[w["pos"] : w["pos"] + length]) for w in want.as_py() or ())
-            for at in range(0, len(out), 4096):
-                cols = list(zip(*out[at : at + 4096]))
+            for at in range(0, len(out), 1024):
+                cols = list(zip(*out[at : at + 1024]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["tk", "text", "gram", "ctx", "lhs", "rhs"])
 
     once = _texts(long.select("tk", "text"))
@@ -321,7 +332,7 @@ def repeated_bytes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spans = again.select("gram", "ctx", "tk", "pos").join(settled, ["gram", "ctx"]).groupBy("tk").agg(F.collect_list(F.struct("pos", "whole", "found")).alias("spans"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pages(batches):
             out = []
             for tk, text, spans in zip(b.column(0), b.column(1), b.column(2)):
                 raw, lo, hi = text.as_py(), [], []
