@@ -66,7 +66,10 @@ class CodeModel:
     """Weights (bucket by bit), bit weights and codewords of the learned languages."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, smooth: float = 0.3):
-        self.langs, self.code = langs, codewords(len(langs))
+        self.langs = langs
+        if not langs:
+            return
+        self.code = codewords(len(langs))
         rate = (counts + smooth) / (counts.sum(1, keepdims=True) + smooth * BUCKETS)  # each language counts alike
         columns = []
         for bit in self.code.T:
