@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters of Latin-1 that decompose into a letter and a mark, and those letters.
 _PAIRS = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(c))) == 2 and unicodedata.combining(unicodedata.normalize("NFKD", chr(c))[1])]
 ACCENTED, BARE = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not 0x300 <= ord(c) <= 0x36F))
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-ORDER = Window.partitionBy("chain").orderBy("idx")
+def in_order():
+    """Window of a chain in order (made when called: it needs a session)."""
+    return Window.partitionBy("chain").orderBy("idx")
 
 
 def measures(points: DataFrame) -> DataFrame:
     """Points, length, gap between the ends, bounding area and mean position of each chain: one exchange."""
-    step = geo.distance_m(F.lag("lat").over(ORDER), F.lag("lon").over(ORDER), F.col("lat"), F.col("lon"))
+    step = geo.distance_m(F.lag("lat").over(in_order()), F.lag("lon").over(in_order()), F.col("lat"), F.col("lon"))
     at = F.struct("lat", "lon")
     g = points.withColumn("step", step).groupBy("chain").agg(
         F.count("*").alias("points"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length_m"), F.min_by(at, "idx").alias("a"), F.max_by(at, "idx").alias("b"),
@@ -37,13 +39,13 @@ def samples(chains: DataFrame, k: int) -> DataFrame:
 def islands(points: DataFrame, inside: Column) -> DataFrame:
     """Maximal runs of neighbouring rows that are inside."""
     flagged = points.where(inside)
-    gap = F.col("idx") - F.lag("idx").over(ORDER)
-    return flagged.withColumn("island", F.sum(F.when(gap == 1, 0).otherwise(1)).over(ORDER))
+    gap = F.col("idx") - F.lag("idx").over(in_order())
+    return flagged.withColumn("island", F.sum(F.when(gap == 1, 0).otherwise(1)).over(in_order()))
 
 
 def backtracks(points: DataFrame, cosine: float = -0.9) -> DataFrame:
     """Marks nodes where a chain turns back on itself."""
-    a, b, c, d = F.lag("lat").over(ORDER), F.lag("lon").over(ORDER), F.lead("lat").over(ORDER), F.lead("lon").over(ORDER)
+    a, b, c, d = F.lag("lat").over(in_order()), F.lag("lon").over(in_order()), F.lead("lat").over(in_order()), F.lead("lon").over(in_order())
     u, v, x, y = F.col("lat") - a, F.col("lon") - b, c - F.col("lat"), d - F.col("lon")
     turn = u * x + v * y < F.lit(cosine) * F.sqrt(u * u + v * v) * F.sqrt(x * x + y * y)
     return points.withColumn("backtrack", F.coalesce(turn, F.lit(False)))
