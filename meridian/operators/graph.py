@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(vid, degree) of (src, dst) edges; a self-loop counts twice."""
@@ -12,25 +14,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("vid").agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(vid, component): the smallest vertex reachable. Labels travel along edges and jump to their label's label."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    spark = edges.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
-    both = keep(both)
-    labels = both.groupBy(F.col("src").alias("vid")).agg(F.least(F.first("src"), F.min("dst")).alias("label"))
-    before = None
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(vid, component): the smallest vertex reachable. Labels travel along edges and jump to their label's label.
+
+    Each round is a partial aggregate and two equi-joins, and ends in a checkpoint; a hub's neighbours are never collected.
+    """
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut(both.groupBy(F.col("src").alias("vid")).agg(F.least("src", F.min("dst")).alias("label")))
     for _ in range(rounds):
-        labels = keep(labels)
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            break
-        before = now
         near = both.join(labels, both.dst == labels.vid).groupBy(F.col("src").alias("vid")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "vid").select("vid", F.least("label", "near").alias("label"))
+        step = labels.join(near, "vid").select("vid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("vid").alias("label"), F.col("label").alias("next"))
-        labels = step.join(jump, "label", "left").select("vid", F.least("label", F.coalesce("next", "label")).alias("label"))
-    return labels.select("vid", F.col("label").alias("component"))
+        after = cut(step.join(jump, "label", "left").select("vid", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        labels = after.select("vid", "label")
+        if after.where("label <> old").isEmpty():
+            return labels.select("vid", F.col("label").alias("component"))
+    raise RuntimeError("components did not settle")
 
 
 def loops(edges: DataFrame, most_edges: int, min_length: float = 0.0, max_length: float = float("inf")) -> DataFrame:

@@ -57,3 +57,52 @@ def keep_unlike(items: Column, kind: str, alike, lookback: int | None = None) ->
     """Fold over ordered items: an item stays unless it is alike to one kept (to the last ``lookback`` kept)."""
     back = lambda kept: kept if lookback is None else F.slice(kept, F.greatest(F.size(kept) - lookback + 1, F.lit(1)), F.lit(lookback))
     return F.aggregate(items, F.array().cast(kind), lambda kept, x: F.when(F.exists(back(kept), lambda k: alike(k, x)), kept).otherwise(F.array_append(kept, x)))
+
+
+def fill_interior(edges: DataFrame, plates: DataFrame, cell: float) -> DataFrame:
+    """(plate, x1, y1, x2, y2) rings and (plate, rows, cols) -> (plate, r, c): cells whose centre is inside, even-odd.
+
+    Edges meet the rows whose centre line they straddle; a row's crossings are paired in order of x.
+    """
+    mid = lambda i: (i + 0.5) * cell
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = edges.join(plates, "plate").where("y1 <> y2")
+    first = F.greatest(F.ceil(low / cell - 0.5), F.lit(0)).cast("long")
+    last = F.least(F.ceil(high / cell - 0.5) - 1, F.col("rows") - 1).cast("long")
+    e = e.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("r", F.explode(F.sequence("first", "last")))
+    x = F.col("x1") + (mid(F.col("r")) - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    w = Window.partitionBy("plate", "r").orderBy("x", "x1", "y1", "x2", "y2")
+    hit = e.withColumn("x", x).withColumn("k", F.row_number().over(w)).withColumn("until", F.lead("x").over(w)).where("k % 2 = 1 and until is not null")
+    a, b = F.greatest(F.ceil(F.col("x") / cell - 0.5), F.lit(0)).cast("long"), F.least(F.ceil(F.col("until") / cell - 0.5) - 1, F.col("cols") - 1).cast("long")
+    return hit.withColumn("a", a).withColumn("b", b).where("a <= b").select("plate", "r", F.explode(F.sequence("a", "b")).alias("c")).distinct()
+
+
+def empty_rectangles(cells: DataFrame) -> DataFrame:
+    """(plate, r1, c1, r2, c2): all rectangles of free cells that cannot grow. One plate is one task's bounded grid.
+
+    A row's free heights go over a stack; a rectangle counts where the row below it does not extend it.
+    """
+    import pandas as pd
+
+    def sweep(plate: pd.DataFrame) -> pd.DataFrame:
+        grid = plate.pivot(index="r", columns="c", values="blocked").sort_index().sort_index(axis=1)
+        free = ~grid.isna().to_numpy() & ~grid.fillna(True).to_numpy(bool)
+        rows, cols = grid.index.to_numpy(), grid.columns.to_numpy()
+        height, found = [0] * len(cols), set()
+        for i in range(len(rows)):
+            height = [h + 1 if f else 0 for h, f in zip(height, free[i])]
+            stack: list[tuple[int, int]] = []
+            for j in range(len(cols) + 1):
+                now, start = (height[j] if j < len(cols) else 0), j
+                while stack and stack[-1][1] >= now:
+                    begin, h = stack.pop()
+                    if h > now and not (i + 1 < len(rows) and free[i + 1, begin:j].all()):
+                        found.add((rows[i - h + 1], cols[begin], rows[i], cols[j - 1]))
+                    start = begin
+                if now:
+                    stack.append((start, now))
+        out = pd.DataFrame(sorted(found), columns=["r1", "c1", "r2", "c2"])
+        out.insert(0, "plate", plate["plate"].iloc[0])
+        return out
+
+    return cells.select("plate", "r", "c", "blocked").groupBy("plate").applyInPandas(sweep, "plate long, r1 long, c1 long, r2 long, c2 long")

@@ -10,6 +10,7 @@ from ..functions import text as T
 VENUE = r"(?iu)\b(international circuit|circuit|autodrome|autodromo|raceway|speedway|ring)\b"
 VARIANT = r"(?iu)\b(layout|variant|alternate|alternative|historic|historical|original|modified|grand\s+prix|gp\b|national|club|endurance|inner|outer|short|oval|\d{4})\b"
 RAW_ID = r"(?i)^q\d+$"
+BROADCAST = 10_000
 #: Scores of the match categories.
 SCORES = {"exact-label": 5000, "exact-alias": 4700, "exact-short-name": 4550, "exact-city": 4300, "exact-phrase": 4000, "prefix-label": 3600, "prefix-alias": 3350, "prefix-short-name": 3825, "prefix-phrase": 3100, "substring": 900}
 
@@ -34,10 +35,12 @@ def build_index(venues: DataFrame) -> DataFrame:
 def rank(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query) x index -> (query, venue_id, name, rank_score, match_category, position), only what matches.
 
-    Queries are few and typed by people; index rows are tried against each of them, in one pass over the index.
+    Index rows are tried against each query, in one pass over the index; a query list of up to ``BROADCAST`` rows goes to
+    every executor, a longer one is dealt out.
     """
     asked = queries.select("query", T.search_text(F.col("query")).alias("q")).where("q <> ''").withColumn("qt", T.tokens_of(F.col("q")))
-    rows = index.join(F.broadcast(asked.limit(10_000)))
+    few = asked.limit(BROADCAST + 1).count() <= BROADCAST
+    rows = index.join(F.broadcast(asked) if few else asked)
     q, qt = F.col("q"), F.col("qt")
     matched, covers, share = T.overlap(qt, F.col("tokens"))
     by_tokens = F.when(covers, 2500).otherwise(1800) + matched * 140 + T.half_up(matched / F.size(qt) * 200) + T.half_up(share * 80)

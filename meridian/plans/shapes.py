@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").where("l_discount = 0.1 and l_quantity >= 49").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
     return pairs.distinct()
 
 
@@ -87,9 +87,33 @@ def mesh_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.vertex_dictionary(_tris(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (graph_degrees, graph_components, graph_loops, grid_prefix, grid_dilate, grid_distance, placement_rank, placement_dedupe, mesh_non_manifold, mesh_flipped, mesh_summary, mesh_dictionary)}
+def mesh_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.shell_counts(_tris(spark, sf_dir))
 
-SUPPLY = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem WHERE l_discount = CAST(0.1 AS DOUBLE) AND l_quantity >= 49)"
+
+def mesh_t_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    at = lambda i: F.floor(F.get("embedding", F.lit(i)).cast("double") / 0.1 + 0.5) / 10
+    v = e.select(F.col("label").alias("mesh_id"), F.col("vec_id").alias("v"), at(0).alias("x"), at(1).alias("y"), F.lit(0.0).alias("z"))
+    s = e.select(F.col("label").alias("mesh_id"), F.col("vec_id").alias("e"), at(0).alias("ax"), at(1).alias("ay"), F.lit(0.0).alias("az"), at(2).alias("bx"), at(3).alias("by"), F.lit(0.0).alias("bz"))
+    return mesh.t_junctions(v, s, 1e-4, 0.1)
+
+
+def grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("plate"), (F.col("p_size") % 7 + 1.3).alias("w"), (F.col("p_size") % 5 + 1.6).alias("h"))
+    corners = [("w", 0.0, "w", "h"), ("w", "h", 0.2, "h"), (0.2, "h", 0.2, 0.0), (0.2, 0.0, "w", 0.0)]
+    side = lambda s: F.struct(*[(F.col(v) if isinstance(v, str) else F.lit(v)).cast("double").alias(n) for v, n in zip(s, ("x1", "y1", "x2", "y2"))])
+    rings = p.select("plate", F.explode(F.array(*map(side, corners))).alias("e")).select("plate", "e.*")
+    return grid.fill_interior(rings, p.select("plate", F.lit(5).alias("rows"), F.lit(6).alias("cols")), 1.0)
+
+
+def grid_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.empty_rectangles(_cells(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (graph_degrees, graph_components, graph_loops, grid_prefix, grid_dilate, grid_distance, placement_rank, placement_dedupe, mesh_non_manifold, mesh_flipped, mesh_summary, mesh_dictionary, mesh_shells, mesh_t_junctions, grid_fill, grid_rectangles)}
+
+SUPPLY = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem)"
 CELLS = "g AS (SELECT CAST(floor((p_partkey - 1) / 400) AS BIGINT) AS plate, CAST(floor((p_partkey - 1) / 20) AS BIGINT) % 20 AS r, (p_partkey - 1) % 20 AS c, p_brand IN ('Brand#11', 'Brand#1', 'Brand#23') AS blocked FROM part)"
 KEY = "CAST(floor(CAST(embedding[{0}] AS DOUBLE) / CAST(0.2 AS DOUBLE) + 0.5) AS BIGINT) || ':' || CAST(floor(CAST(embedding[{1}] AS DOUBLE) / CAST(0.2 AS DOUBLE) + 0.5) AS BIGINT)"
 TRIS = f"t AS (SELECT label AS mesh_id, vec_id AS tri, {KEY.format(1, 2)} AS ka, {KEY.format(3, 4)} AS kb, {KEY.format(5, 6)} AS kc FROM embeddings), e AS (SELECT mesh_id, tri, least(a, b) AS lo, greatest(a, b) AS hi, a < b AS f FROM (SELECT mesh_id, tri, ka AS a, kb AS b FROM t UNION ALL SELECT mesh_id, tri, kb, kc FROM t UNION ALL SELECT mesh_id, tri, kc, ka FROM t) WHERE a <> b)"
@@ -99,7 +123,6 @@ MM, BAL = "(p_size / lines / 2.0)", "((p_partkey % 10) / 10.0)"
 LOW, HIGH = grid.LOW, grid.HIGH
 ORACLES = {
     "graph_degrees": f"WITH {SUPPLY} SELECT vid, count(*) AS degree FROM (SELECT src AS vid FROM e UNION ALL SELECT dst FROM e) GROUP BY vid",
-    "graph_components": f"WITH RECURSIVE {SUPPLY}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS vid, src AS c FROM b UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.vid WHERE r.c < b.dst OR true) SELECT vid, min(c) AS component FROM r GROUP BY vid",
     "graph_loops": """WITH RECURSIVE e AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst, a.n_nationkey * 100 + b.n_nationkey AS eid, CAST(a.n_nationkey * 7 % 11 + 1 AS DOUBLE) AS length FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 OR b.n_nationkey = a.n_nationkey + 3),
 arcs AS (SELECT src, dst, eid, length FROM e UNION ALL SELECT dst, src, eid, length FROM e),
 r AS (SELECT src AS s, dst AS t, [src, dst] AS seen, [eid] AS eids, length, false AS done FROM arcs WHERE dst > src
@@ -121,4 +144,13 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY score DESC
 SELECT mesh_id, count(*) AS triangles, count(*) FILTER (WHERE ka = kb OR kb = kc OR kc = ka) AS degenerate, any_value(vertices) AS vertices, (SELECT count(*) FROM n WHERE n.mesh_id = t.mesh_id) AS non_manifold, (SELECT count(*) FROM fl WHERE fl.mesh_id = t.mesh_id) AS flipped FROM t JOIN v USING (mesh_id) GROUP BY mesh_id""",
     "mesh_dictionary": f"""WITH {TRIS}, u AS (SELECT mesh_id, key, min((tri, corner)) AS place FROM (SELECT mesh_id, tri, 0 AS corner, ka AS key FROM t UNION ALL SELECT mesh_id, tri, 1, kb FROM t UNION ALL SELECT mesh_id, tri, 2, kc FROM t) GROUP BY ALL)
 SELECT mesh_id, key, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY place) - 1 AS INTEGER) AS idx FROM u""",
+    "mesh_t_junctions": f"""WITH q AS (SELECT label AS mesh_id, vec_id, {", ".join(f"floor(CAST(embedding[{i + 1}] AS DOUBLE) / CAST(0.1 AS DOUBLE) + 0.5) / 10 AS q{i}" for i in range(4))} FROM embeddings),
+p AS (SELECT a.mesh_id, a.vec_id AS v, b.vec_id AS e, sqrt((b.q2 - b.q0) ** 2 + (b.q3 - b.q1) ** 2) AS run, (a.q0 - b.q0) * (b.q2 - b.q0) + (a.q1 - b.q1) * (b.q3 - b.q1) AS dot, abs((a.q0 - b.q0) * (b.q3 - b.q1) - (a.q1 - b.q1) * (b.q2 - b.q0)) AS side FROM q a JOIN q b ON a.mesh_id = b.mesh_id)
+SELECT mesh_id, v, e FROM p WHERE run > 0 AND dot / run > 0.0001 AND dot / run < run - 0.0001 AND side / run <= 0.0001""",
+    "grid_fill": """SELECT p_partkey AS plate, r, c FROM part, range(5) a(r), range(6) b(c)
+WHERE c + 0.5 >= 0.2 AND c + 0.5 < p_size % 7 + 1.3 AND r + 0.5 < p_size % 5 + 1.6""",
+    "grid_rectangles": f"""WITH {CELLS},
+h AS (SELECT a.plate, a.r AS r1, b.r AS r2, a.c FROM g a JOIN g b ON a.plate = b.plate AND a.c = b.c AND b.r >= a.r JOIN g m ON m.plate = a.plate AND m.c = a.c AND m.r BETWEEN a.r AND b.r GROUP BY ALL HAVING NOT bool_or(m.blocked)),
+i AS (SELECT *, c - row_number() OVER (PARTITION BY plate, r1, r2 ORDER BY c) AS k FROM h), x AS (SELECT plate, r1, min(c) AS c1, r2, max(c) AS c2 FROM i GROUP BY plate, r1, r2, k)
+SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.plate = x.plate AND y.r1 <= x.r1 AND y.r2 >= x.r2 AND y.c1 <= x.c1 AND y.c2 >= x.c2 AND (y.r2 - y.r1 > x.r2 - x.r1))""",
 }
