@@ -86,7 +86,7 @@ def empty_rectangles(cells: DataFrame) -> DataFrame:
 
     def sweep(plate: pd.DataFrame) -> pd.DataFrame:
         grid = plate.pivot(index="r", columns="c", values="blocked").sort_index().sort_index(axis=1)
-        free = ~grid.isna().to_numpy() & ~grid.fillna(True).to_numpy(bool)
+        free = (grid == False).to_numpy(bool)  # noqa: E712 - a cell that is not there is not free
         rows, cols = grid.index.to_numpy(), grid.columns.to_numpy()
         height, found = [0] * len(cols), set()
         for i in range(len(rows)):
