@@ -71,8 +71,8 @@ def half_up(x: Column) -> Column:
 
 
 def retry_delay_seconds(body: Column) -> Column:
-    """Seconds of a ``retry in n seconds|minutes|hours`` text; null if there is none."""
-    pattern = r"(?i)(\d+)\s*(second|minute|hour)s?"
+    """Seconds of a ``wait n seconds|minutes|hours`` text; null if there is none."""
+    pattern = r"(?i)wait\s+(\d+)\s*(second|minute|hour)"
     unit = F.lower(F.regexp_extract(body, pattern, 2))
     scale = F.when(unit == "hour", 3600).when(unit == "minute", 60).when(unit == "second", 1)
     return F.when(unit != "", F.regexp_extract(body, pattern, 1).cast("long")) * scale
