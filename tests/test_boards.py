@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from meridian.functions import text
-from meridian.operators import contours, crossings, layouts, plates
+from meridian.operators import contours, crossings, forks, layouts, plates
 from meridian.sources import reports
 
 LAYOUTS = "track int, track_name string, layouts array<struct<name: string, source_rank: int, metres: double, `group`: string, nodes: array<struct<lat: double, lon: double>>>>"
@@ -117,3 +117,15 @@ def test_modes_and_reports(spark):
 def test_slug_and_waits(spark):
     rows = spark.createDataFrame([("Ñürburg & Ring!", "please wait 3 minutes"), (None, "Wait 2 HOURS"), ("-a-", "retry in 5 seconds"), ("", None)], "n string, b string")
     assert [tuple(r) for r in rows.select(text.slug(F.col("n")), text.retry_delay_seconds(F.col("b"))).collect()] == [("nurburg-ring", 180), ("", 7200), ("a", None), ("", None)]
+
+
+def test_forks_and_rings(spark):
+    ways = [(1, 0, 0, 1), (1, 1, 1, 2), (1, 2, 2, 0), (1, 3, 0, 3), (1, 4, 3, 2), (1, 5, 3, 4), (2, 0, 5, 6), (2, 1, 7, 6), (2, 2, 7, 5), (3, 0, 1, 2), (3, 1, 2, 1), (3, 2, 3, 4), (3, 3, 4, 3), (4, 0, 1, 2), (4, 1, 2, 1), (5, 0, 1, 2)]
+    df = spark.createDataFrame([(*w, float(w[1] + 1)) for w in ways], "track int, eid int, a int, b int, length double")
+    got = sorted((r.track, r.fork, r.merge, r.eids, r.length) for r in forks.branches(df).collect())
+    assert got == [(1, 0, 2, [0, 1], 3.0), (1, 0, 2, [2], 3.0), (1, 0, 3, [3], 4.0), (1, 2, 0, [1, 0], 3.0), (1, 2, 0, [2], 3.0), (1, 2, 3, [4], 5.0), (1, 3, 0, [3], 4.0), (1, 3, 2, [4], 5.0), (1, 3, 4, [5], 6.0)]
+    sections = [(r.fork, r.merge, [(b.on_backbone, b.eids) for b in r.branches], r.total) for r in forks.fork_sections(df, F.col("eid") == 2).collect()]
+    assert sections == [(0, 2, [(True, [2]), (False, [0, 1])], 6.0)]
+    assert forks.fork_sections(df, F.lit(False)).count() == 0
+    assert {r.track: (r.eids, r.length) for r in forks.rings(df).collect()} == {2: ([0, 1, 2], 6.0), 4: ([0, 1], 3.0)}
+    assert forks.branches(df.limit(0)).count() == forks.rings(df.limit(0)).count() == 0
