@@ -66,10 +66,11 @@ def drop_near_duplicates(chains: DataFrame, cell: float = 1e-5) -> DataFrame:
 def close_if_near(chains: DataFrame, metres: float = 80.0) -> DataFrame:
     """The first node again at the end where the gap is at most ``metres``."""
     a, b = F.get("nodes", F.lit(0)), F.element_at("nodes", -1)
-    near = (F.size("nodes") > 2) & (geo.distance_m(a["lat"], a["lon"], b["lat"], b["lon"]) <= metres) & ((a["lat"] != b["lat"]) | (a["lon"] != b["lon"]))
+    near = (F.size("nodes") >= 2) & (geo.distance_m(a["lat"], a["lon"], b["lat"], b["lon"]) <= metres) & ((a["lat"] != b["lat"]) | (a["lon"] != b["lon"]))
     return chains.withColumn("nodes", F.when(near, F.array_append("nodes", a)).otherwise(F.col("nodes")))
 
 
 def slice_closed(nodes: Column, start: Column, end: Column) -> Column:
-    """Nodes from ``start`` to ``end`` of a closed chain, over the seam where end lies before start."""
-    return F.when(start <= end, F.slice(nodes, start + 1, end - start + 1)).otherwise(F.concat(F.slice(nodes, start + 1, F.size(nodes)), F.slice(nodes, F.lit(1), end + 1)))
+    """Nodes from ``start`` to ``end`` of a closed chain without the node that closes it, over the seam where end lies before start."""
+    ring = F.when(F.size(nodes) > 1, F.slice(nodes, F.lit(1), F.size(nodes) - 1)).otherwise(nodes)
+    return F.when(start <= end, F.slice(ring, start + 1, end - start + 1)).otherwise(F.concat(F.slice(ring, start + 1, F.size(ring)), F.slice(ring, F.lit(1), end + 1)))

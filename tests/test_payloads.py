@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.sources import payloads
+from meridian.operators import chains
+from meridian.sources import payloads, sinks, ways
 
 
 def test_entity_details(spark, tmp_path):
@@ -65,3 +66,25 @@ def test_folder_scan(spark, tmp_path):
     rows, missing = payloads.folder_scan(spark, str(tmp_path), "name string", ["Q2", "Q9"])
     assert [tuple(r) for r in rows.collect()] == [("Q2", "b")] and [r.id for r in missing.collect()] == ["Q9"]
     assert payloads.folder_scan(spark, str(tmp_path), "name string")[0].count() == 2
+
+
+def test_index_of_documents(spark, tmp_path):
+    for i, n in (("Q1", 3), ("Q2", 2), ("Q3", 0)):
+        nodes = [{"lat": float(k), "lon": 0.0} for k in range(n)]
+        (tmp_path / f"{i}.json").write_text(json.dumps({"trackId": i, "name": i.lower(), "layouts": [{"name": "Main", "nodes": nodes}] if n else []}, indent=1))
+    docs = ways.documents(spark, str(tmp_path))
+    assert docs.count() == 3
+    assert [r[0] for r in ways.buildable(docs).select("name").collect()] == ["q1"]
+    lines = [json.loads(r.json)["name"] for r in sinks.sorted_array(docs.select("name"), "name").collect()]
+    assert lines == ["q1", "q2", "q3"]
+
+
+def test_closing_and_slicing_chains(spark):
+    near, far = 80 / 111_320 * 0.99, 80 / 111_320 * 1.01
+    rows = [(1, [(0.0, 0.0), (1.0, 0.0), (near, 0.0)]), (2, [(0.0, 0.0), (1.0, 0.0), (far, 0.0)]), (3, [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]), (4, [(0.0, 0.0), (near, 0.0)])]
+    df = spark.createDataFrame(rows, "chain int, nodes array<struct<lat: double, lon: double>>")
+    closed = {r.chain: [p.lat for p in r.nodes] for r in chains.close_if_near(df).collect()}
+    assert closed == {1: [0.0, 1.0, near, 0.0], 2: [0.0, 1.0, far], 3: [0.0, 1.0, 0.0], 4: [0.0, near, 0.0]}
+    cut = lambda a, b: spark.range(1).select(chains.slice_closed(F.expr("array(0, 1, 2, 3, 4)"), F.lit(a), F.lit(b)).alias("x")).first().x
+    assert cut(1, 3) == [1, 2, 3] and cut(2, 2) == [2]
+    assert cut(3, 1) == [3, 0, 1] and cut(2, 9) == [2, 3]
