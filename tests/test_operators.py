@@ -31,8 +31,8 @@ def test_text_forms(spark):
 
 
 def test_retry_delay(spark):
-    rows = spark.createDataFrame([("try again in 3 minutes",), ("soon",)], "b string").select(T.retry_delay_seconds(F.col("b"))).collect()
-    assert [r[0] for r in rows] == [180, None]
+    rows = spark.createDataFrame([("please wait 3 minutes",), ("try again in 3 minutes",), ("soon",)], "b string").select(T.retry_delay_seconds(F.col("b"))).collect()
+    assert [r[0] for r in rows] == [180, None, None]
 
 
 def test_rank_prefers_exact_label(spark):
