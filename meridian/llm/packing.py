@@ -2,11 +2,12 @@
 
 Tokenised texts are cut into pieces of at most ``capacity`` tokens; only the histogram of piece lengths (one count a
 length) goes to the driver. The configuration program, least total weight of configurations (multisets of lengths that
-fit) that covers every length's count, is solved by multiplicative weights: each round a knapsack program over
-capacities prices the best configuration under the lengths' weights, it is used to a step, and what it covers loses
-weight. Rounding takes each configuration a whole number of times, as often as whole pieces remain; the few pieces over
-are packed best fit, longest first. Pieces get ranks within their length (counted in salted parts, so one frequent
-length is spread) and take the slots of their rank.
+fit) that covers every length's count, is solved by multiplicative weights in whole uses: each round a knapsack program
+over capacities prices configurations under the lengths' weights, the priced one with each length is used to a step, and
+what is covered loses weight. Rounds go on until all but four pieces of each length are covered; these few, at most four
+times the lengths and however many rows there are, go best fit, longest first, into the rooms left and new sequences,
+alike ones as one. Pieces get ranks within their length (counted in salted parts, so one frequent length is spread) and
+take the slots of their rank.
 
 Defined results: null text counts as empty and packs as its end token; equal rows are packed each; an empty table packs
 into nothing; a document longer than the capacity, and only such, is cut.
@@ -14,12 +15,13 @@ into nothing; a document longer than the capacity, and only such, is cut.
 
 from __future__ import annotations
 
-import heapq
 import os
 import re
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -155,8 +157,8 @@ def pieces(df: DataFrame, tokenizer: str, *, id_col: str, text_col: str, capacit
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(lengths: np.ndarray, value: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how often each length is in the configuration of greatest value."""
+def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> list[int]:
+    """Knapsack by dynamic programming: the last length of the greatest value in each room (-1: as in one room less)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
     for room in range(int(lengths[0]), capacity + 1):
         k = np.searchsorted(lengths, room, "right")
@@ -166,80 +168,112 @@ def best_configuration(lengths: np.ndarray, value: np.ndarray, limit: np.ndarray
             best[room], choice[room] = gain[top], top
         else:
             best[room] = best[room - 1]
-    uses, room = np.zeros(len(lengths), np.int64), capacity
-    while room > 0:
+    return choice.tolist()
+
+
+def configuration(first: int, lengths: list[int], choice: list[int], ends: list[int], left: list[int], below: list[int], capacity: int) -> tuple[dict[int, int], int]:
+    """The priced configuration with the length at ``first`` in it, and its room; where pieces lack, the longest there are."""
+    uses, space, room = {first: 1}, capacity - lengths[first], capacity - lengths[first]
+    while (room := ends[room]) > 0:
         i = choice[room]
-        if i < 0:
-            room -= 1
-            continue
-        uses[i] += 1
-        room -= int(lengths[i])
-    return np.minimum(uses, limit)
-
-
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60, epsilon: float = 0.15) -> list[tuple[np.ndarray, float]]:
-    """Multiplicative weights for the covering program: configurations and how often each is used (fractions)."""
-    covered, weight = np.zeros(len(lengths)), lengths / capacity / counts
-    found: dict[bytes, list] = {}
-    # a step covers about one part in `rounds` of all tokens
-    step = max(1.0, float((lengths * counts).sum()) / capacity / rounds)
-    for _ in range(2 * rounds):
-        short = covered < counts
-        if not short.any():
-            break
-        value = np.where(short, weight * counts, 0) + lengths * 1e-9
-        uses = best_configuration(lengths, value, counts, capacity)
-        if not (uses[short] > 0).any():
-            break
-        found.setdefault(uses.tobytes(), [uses, 0.0])[1] += step
-        covered += step * uses
-        weight = lengths / capacity / counts * np.exp(-np.minimum(covered / counts, 50.0) / epsilon)
-    return [(u, x) for u, x in found.values()]
-
-
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best fit, longest first, by remaining room: bins of lengths."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins, rooms = [], np.zeros(capacity + 1, bool)
-    for size in sorted(lengths, reverse=True):
-        fits = rooms[size:]
-        at = int(fits.argmax()) + size if fits.any() else -1
-        if at < 0:
-            bins.append([size])
-            number, room = len(bins) - 1, capacity
-        else:
-            number, room = by_room[at].pop(), at
-            bins[number].append(size)
-            rooms[at] = bool(by_room[at])
-        by_room[room - size].append(number)
-        rooms[room - size] = True
-    return bins
+        if uses.get(i, 0) < left[i]:
+            uses[i] = uses.get(i, 0) + 1
+            space -= lengths[i]
+        room -= lengths[i]
+    i = len(lengths)
+    while (i := min(i, bisect_right(lengths, space)) - 1) >= 0:
+        at = i
+        while i >= 0 and not left[i]:
+            i = below[i]
+        below[at] = i if at != i else at - 1
+        if i >= 0 and (n := min(left[i] - uses.get(i, 0), space // lengths[i])) > 0:
+            uses[i] = uses.get(i, 0) + n
+            space -= n * lengths[i]
+    return uses, space
+
+
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60, epsilon: float = 0.15, spare: int = 4, slack: float = 1 / 2048) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Multiplicative weights for the covering program in whole uses: [(configuration, times)], and the counts left over.
+
+    Rounds go on until the program is covered, all but ``spare`` pieces of each length. A round prices configurations
+    once and uses the best one with each length, longest first, where it is full enough, to a step. A round that covers
+    less than one part in ``rounds`` of all tokens widens what is full enough, so rounds end soon: how many they are, and
+    how many configurations, depends on the lengths and the parameters, not on the counts.
+    """
+    free, found = np.maximum(counts - spare, 0), Counter()
+    step = np.maximum(1, counts * epsilon / 2).astype(np.int64)
+    total = max(1, int((lengths * counts).sum()) // capacity // rounds)
+    while (free > 0).any():
+        before = int((lengths * free).sum())
+        here = np.flatnonzero(free)
+        left, sizes, most = free[here].tolist(), lengths[here].tolist(), step[here].tolist()
+        covered = 1 - free[here] / counts[here]
+        choice = price(lengths[here], lengths[here] * np.exp(-(covered - covered.min()) / epsilon), capacity)
+        ends, end = [], 0
+        for room, i in enumerate(choice):
+            end = room if i >= 0 else end
+            ends.append(end)
+        below = list(range(-1, len(sizes) - 1))
+        for first in range(len(sizes) - 1, -1, -1):
+            if not left[first]:
+                continue
+            uses, space = configuration(first, sizes, choice, ends, left, below, capacity)
+            if space > slack * capacity:
+                continue
+            times = max(1, min(total, most[first] // uses[first], *(left[i] // n for i, n in uses.items())))
+            for i, n in uses.items():
+                left[i] -= n * times
+            found[tuple(sorted((sizes[i], n) for i, n in uses.items()))] += times
+        free[here] = left
+        if before - int((lengths * free).sum()) < total * capacity:
+            slack *= 4
+    plan, rest = [(dict(config), times) for config, times in found.items()], counts.copy()
+    for config, times in plan:
+        for n, each in config.items():
+            rest[np.searchsorted(lengths, n)] -= each * times
+    return plan, rest
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, plan: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, by remaining room into the bins of ``plan`` and new ones; equal bins are filled as one."""
+    by_room: list[list[tuple[dict[int, int], int]]] = [[] for _ in range(capacity + 1)]
+    rooms = np.zeros(capacity + 1, bool)
+
+    def put(config: dict[int, int], times: int, room: int) -> None:
+        if times:
+            by_room[room].append((config, times))
+            rooms[room] = True
+
+    for config, times in plan:
+        put(config, times, capacity - sum(n * each for n, each in config.items()))
+    for size, n in zip(lengths[::-1].tolist(), counts[::-1].tolist()):
+        while n:
+            fits = rooms[size:]
+            room = int(fits.argmax()) + size
+            if fits.any():
+                config, times = by_room[room].pop()
+                rooms[room] = bool(by_room[room])
+            else:
+                config, times, room = {}, n, capacity
+            each = min(n, room // size)
+            some = min(times, n // each)  # one after the other, these bins take as many as they have room for
+            if config:
+                put(config, times - some, room)
+            put(config | {size: config.get(size, 0) + each}, some, room - each * size)
+            n -= some * each
+    return [group for groups in by_room for group in groups]
 
 
 def plan_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """[(configuration, times)], and the number of bins: whole uses of the program's solution, then best fit."""
+    """[(configuration, times)], and the number of bins: the program's solution, its rooms and new bins filled best fit.
+
+    Best fit alone is taken where it needs fewer bins (a length that fills the table can leave the program's last ones poor).
+    """
     if not len(lengths):
         return [], 0
-    rest, plan = counts.copy(), []
-    for uses, often in sorted(solve_configurations(lengths, counts, capacity), key=lambda c: -c[1]):
-        has = uses > 0
-        times = int(min(np.floor(often), (rest[has] // uses[has]).min())) if has.any() else 0
-        if times and (lengths * uses).sum() > 0.98 * capacity:
-            rest -= times * uses
-            plan.append(({int(n): int(u) for n, u in zip(lengths[has], uses[has])}, times))
-    # what is left may be much where one length fills the table; then bins of one length first, in bulk
-    for i in np.flatnonzero(rest * lengths > 64 * capacity):
-        fit = capacity // int(lengths[i])
-        if fit * lengths[i] > 0.98 * capacity and (times := int(rest[i] // fit)):
-            rest[i] -= times * fit
-            plan.append(({int(lengths[i]): fit}, times))
-    left = np.repeat(lengths, rest).tolist()
-    for bin_ in best_fit(left, capacity):
-        config: dict[int, int] = {}
-        for n in bin_:
-            config[n] = config.get(n, 0) + 1
-        plan.append((config, 1))
-    return plan, sum(t for _, t in plan)
+    plan, rest = solve_configurations(lengths, counts, capacity)
+    plans = best_fit(lengths, rest, capacity, plan), best_fit(lengths, counts, capacity, [])
+    return min(((plan, sum(t for _, t in plan)) for plan in plans), key=lambda p: p[1])
 
 
 def slot_table(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:

@@ -57,6 +57,29 @@ def test_packing(spark):
     assert list(encoder.encode(texts)) == [encoder._plain(t) if t else b"" for t in texts]
 
 
+def test_packing_plan_grows_with_lengths_not_rows():
+    rng = np.random.default_rng(10)
+    lengths = np.sort(rng.choice(np.arange(1, 2000), 300, replace=False))
+    for hot in (False, True):
+        n, counts = np.append(lengths, 2100), np.append(rng.integers(1, 60, 300), 3)
+        counts[-1] = counts[:-1].sum() // 2 if hot else 3
+        for times in (1, 1000):
+            plan, bins = packing.plan_bins(n, counts * times, 4096)
+            placed = Counter()
+            for config, often in plan:
+                assert often > 0 and sum(a * b for a, b in config.items()) <= 4096
+                placed.update({a: b * often for a, b in config.items()})
+            assert placed == dict(zip(n.tolist(), (counts * times).tolist()))
+            assert bins == sum(often for _, often in plan) and len(plan) <= 10 * len(n)
+            if not hot:
+                assert bins <= 1.01 * (n * counts * times).sum() / 4096 + 1
+        _, left = packing.solve_configurations(n, counts * 1000, 4096)
+        assert (left >= 0).all() and left.sum() <= 4 * len(n)
+        alone = sum(often for _, often in packing.best_fit(n, counts * 1000, 4096, []))
+        assert bins <= alone
+    assert packing.plan_bins(np.array([4096]), np.array([7]), 4096)[1] == 7
+
+
 def test_language_id(spark):
     df = odd_rows(spark).withColumn("held", language_id.held_out())
     model = language_id.fit(df)
