@@ -62,8 +62,9 @@ def nra_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
                 rows = active[at_q : at_q + 256]
                 low = up[rows] @ low_up.T + down[rows] @ low_down.T
                 high = up[rows] @ high_up.T + down[rows] @ high_down.T
-                kth = np.partition(low, n - k - 1, axis=1)[:, n - k - 1]  # one more, for the query's own row
-                left = high >= kth[:, None]
+                others = ids[None, :] != q_ids[rows][:, None]  # an id may have any number of rows
+                kth = np.partition(np.where(others, low, -np.inf), n - k, axis=1)[:, n - k]
+                left = others & (high >= kth[:, None])
                 for r, mine in zip(rows, left):
                     places = np.flatnonzero(mine)
                     if len(places) <= few:

@@ -171,6 +171,21 @@ def test_searches(spark):
         assert f(df.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_ids():
+    rng = np.random.default_rng(11)
+    x = np.floor(rng.normal(size=(1500, 16)) * 256).astype(np.float32)
+    ids = np.arange(1500)
+    ids[700:710] = 700
+    x[700:710] = x[700] * 3  # ten rows of one id lead their own query's scores
+    q = x[[700, 705, 20]]
+    got_q, got_i, got_s = nra_topk.nra_block(ids[[700, 705, 20]], q, ids, x, 5)
+    want = []
+    for own, v in zip((700, 700, 20), q):
+        s = x @ v
+        want += [(own, int(ids[i]), int(s[i])) for i in [j for j in np.lexsort((ids, -s)) if ids[j] != own][:5]]
+    assert list(zip(got_q, got_i, got_s)) == want
+
+
 def test_url_filter(spark):
     urls = ["https://a.example.org/es/x", "http://example.org/en/17", "http://X.ORG/", "http://notorg.net/", "http://b.com/de/1?q", "http://b.com/fr/", "http://org?x", "mailto:x", None, "http:///p", "http://a.com/de/1", "http://a.com/de/1"]
     got = Counter((r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame([(1, u) for u in urls], "page_id long, url string")).collect())
