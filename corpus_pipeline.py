@@ -22,8 +22,14 @@ def _others(docs: DataFrame, *without: str):
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; all others stay as they are."""
+    """Documents without a text or a letter in it go; all others stay as they are.
+
+    Which language a text is in, and whether that is ambiguous, decides nothing; without any label nothing is learned, and
+    the rule is the same.
+    """
     model = language_id.fit(docs)
+    if not model.langs:
+        return docs.where(F.udf(lambda t: bool(t and language_id.LETTER.search(t)), "boolean")("text"))
     rows = docs.select("doc_id", "text", _others(docs, "text").alias("__row"))
     seen = language_id.identify(rows, model, keep=("__row",), keep_text=True).where("lang_pred <> 'und'")
     return seen.select(*[F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

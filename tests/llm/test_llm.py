@@ -244,3 +244,10 @@ def test_pipeline_stages(spark):
             assert shared[10:-10] not in texts[40] + texts[41] and texts[3] == rows[3][1]
     packed = corpus_pipeline.STAGES[4][1](spark, kept, "")
     assert packed.where("offset = 0").count() == packed.select("sequence_id").distinct().count()
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "one word", None), (2, "123 !!", None), (3, None, None), (4, "", None), (5, "日本", None), (1, "one word", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 5]
