@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,29 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str, last: Callable) -> DataFrame:
+    """Write ``df``, dealt by ``keys``, as a bucketed scratch table, so that joins on them leave it where it is.
+
+    ``last`` goes over each dealt partition before it is written.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = parts(spark)
+    dealt = df.repartition(n, *keys).mapInArrow(last, df.schema)
+    dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{table}").bucketBy(n, *keys).saveAsTable(table)
+    return spark.table(table)
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """``left`` inner join ``right`` on ``keys``; ``right`` has one row a key, with the number of its rows in ``left``.
+
+    Keys that hold over one in ``share`` of the ``total`` rows, so fewer than ``share``, are broadcast and their rows stay
+    where they are; the others are dealt by key.
+    """
+    heavy = right.where(F.col(weight) * share > total)
+    light = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(F.col(weight) * share <= total), keys)
+    return left.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

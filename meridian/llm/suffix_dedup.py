@@ -1,26 +1,35 @@
 """Removal of repeated long passages with a logarithmic family of (sparse) suffix arrays.
 
-Every ``length``-byte window of a text is represented by one suffix: the one that starts at the window's anchor, the
-leftmost position of least rolling hash among its ``gram``-byte grams. Equal windows have equal anchors, so windows can
-only be equal where anchors have equal grams, and a suffix array over anchors finds every long match (bidirectional
-string anchors). About 2 in ``length - gram`` positions are anchors.
-
-1. Each text gives its anchors: gram hash, hash of the whole context (all windows of the anchor), text key, position.
-   Grams seen once are done with. Copies of a text inside a task are skipped; whole-text copies count by their digest.
-2. Anchors whose whole context occurs twice are settled by that count. Grams with several contexts go on, one
-   representative text slice a context, dealt by gram; a gram of too many contexts is dealt as pairs of blocks.
-3. A task feeds its slices batch by batch to a ``SuffixArrayFamily``: each batch gets its suffix array (and the array of
-   reversed left contexts), is merge-scanned against the levels for windows that both hold, and equal-sized levels merge.
-4. Windows found go back to their anchors and texts, are joined into runs and cut out.
-
-Defined results: null text counts as empty; texts under ``length`` bytes and without copies keep everything; whole-text
-copies of ``length`` bytes or more lose everything, each copy; rows keep their doc_id, null or repeated.
+A rule names the passages to go: ``length`` bytes or more that start elsewhere too. Every window of the shortest rule's
+length is represented by one suffix: the one that starts at the window's anchor, the leftmost position of least rolling
+hash among its ``gram``-byte grams. Equal windows have equal anchors, so windows can only be equal where anchors have
+equal grams, and a suffix array over anchors finds every long match (bidirectional string anchors). About 2 in
+``length - gram`` positions are anchors. A longer rule's window is looked for at the anchor of its first short window.
+
+1. Distinct texts are written once, bucketed by their digest (120 bits); no later join moves a text.
+2. Each text gives its anchors: gram hash, hash of the whole context (all windows of the anchor; with the gram hash 128
+   bits), text key, first and last position of a run of equal ones (periodic text is one run, not an anchor a period).
+   Grams seen once are done with.
+3. Contexts that occur twice are settled by that count. Grams with several contexts go on, one representative text slice
+   a context, dealt by gram. A task feeds them batch by batch to a ``SuffixArrayFamily``: each batch gets its suffix array
+   (and the order of its reversed left contexts), is merge-scanned against the levels for windows that both hold, and
+   levels of a size merge.
+4. A gram of more than ``most`` contexts is not held in one task: its windows are counted by their hashes, all partial
+   aggregates, after eight wider strings a context have told which windows can be repeated at all.
+5. Windows found go back to their anchors and texts, are joined into runs and cut out.
+
+Joins on a gram or a context send the keys that hold over a thousandth of the rows (so fewer than 1,000) as a broadcast;
+the rest is dealt by key.
+
+Defined results: null text counts as empty; texts shorter than a rule's length keep everything; whole-text copies of that
+length or more lose everything, each copy, whatever the rule's ``words``; rows keep their doc_id, null or repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +37,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import bucketed, heavy_join, scratch
 
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 STEP = 1 << 19
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+KEY = ["tk", "tl"]
+#: Strings a context of a frequent gram is first counted by.
+RANGES = 8
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Runs of bytes in strings of ``length`` that start elsewhere too; with ``across``, in another text; runs of fewer than ``words`` words stay."""
+
+    length: int = 400
+    words: int = 0
+    across: bool = False
+
+
+#: What the pipeline cuts: passages of over 50 words that another document holds as well (51 words of 200 bytes or more).
+PASSAGES = Rule(200, 51, True)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,50 +85,57 @@ def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(32)
+
+
+VALUES = np.random.default_rng(7).integers(1, np.iinfo(np.uint64).max, 256, dtype=np.uint64)
+
+
 class Anchors:
     """Anchor positions of texts that lie one after another in a buffer."""
 
-    def __init__(self, length: int = 400, gram: int = 64):
-        self.length, self.gram, self.spread = length, gram, length - gram
-        self.up, self.down = _powers(STEP + 2 * length)
-        self.values = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    def __init__(self, length: int = 400, gram: int = 64, far: int = 400):
+        self.length, self.gram, self.far, self.spread = length, gram, far, length - gram
+        self.up, self.down = _powers(STEP + 3 * length + far)
 
-    def hashes(self, data: np.ndarray) -> np.ndarray:
-        """Mixed rolling hash of each gram that starts in ``data``."""
-        k = self.gram
-        with np.errstate(over="ignore"):
-            sums = np.empty(len(data) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:], dtype=np.uint64)
-            h = (sums[k:] - sums[:-k]) * self.down[: len(data) - k + 1]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        return h
-
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, gram hashes); windows never cross the texts' bounds."""
-        at, hashes, low = [], [], np.uint64((1 << 20) - 1)
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, gram hashes, context hashes); windows and contexts never cross the texts' bounds."""
+        at, grams, contexts, low = [], [], [], np.uint64((1 << 20) - 1)
         last_start = np.zeros(len(data) + 1, np.int32)  # +1 where windows become valid, -1 behind the last valid one
         long = ends - starts >= self.length
         np.add.at(last_start, starts[long], 1)
         np.add.at(last_start, ends[long] - self.length + 1, -1)
         valid = np.cumsum(last_start)[:-1] > 0
+        k = self.gram
         for begin in range(0, len(data) - self.length + 1, STEP):
-            here = data[begin : begin + STEP + self.length - 1]
-            ok = valid[begin : begin + min(STEP, len(here) - self.length + 1)]
+            n = min(STEP, len(data) - self.length + 1 - begin)  # windows that start here
+            ok = valid[begin : begin + n]
             if not ok.any():
                 continue
-            h = self.hashes(here)
-            least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), self.spread + 1)[: len(ok)]
-            found = np.unique((least[ok] & low).astype(np.int64))
+            base = max(0, begin - self.spread)
+            here = data[base : begin + n + self.spread + self.far]
+            with np.errstate(over="ignore"):
+                sums = np.empty(len(here) + 1, np.uint64)
+                sums[0] = 0
+                np.cumsum(VALUES[here] * self.up[: len(here)], out=sums[1:], dtype=np.uint64)
+                skip, m = begin - base, n + self.spread
+                h = _mixed((sums[skip + k : skip + m + k] - sums[skip : skip + m]) * self.down[skip : skip + m])
+                least = sliding_min((h & ~low) | np.arange(m, dtype=np.uint64), self.spread + 1)[:n]
+                found = np.unique((least[ok] & low).astype(np.int64))
+                doc = np.searchsorted(starts, found + begin, "right") - 1
+                s = np.maximum(starts[doc], found + begin - self.spread) - base
+                e = np.minimum(ends[doc], found + begin + self.far) - base
+                shape = (found + skip - s).astype(np.uint64) << np.uint64(32) | (e - s).astype(np.uint64)
+                contexts.append(_mixed(_mixed((sums[e] - sums[s]) * self.down[s]) + shape * np.uint64(MULTIPLIER)))
             at.append(found + begin)
-            hashes.append(h[found])
+            grams.append(h[found])
         if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at, hashes = np.concatenate(at), np.concatenate(hashes)
-        at, first = np.unique(at, return_index=True)
-        return at, hashes[first]
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        at, first = np.unique(np.concatenate(at), return_index=True)
+        return at, np.concatenate(grams)[first], np.concatenate(contexts)[first]
 
 
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,98 +156,138 @@ def pages(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4 << 2
             at += page
 
 
+def aligned(left: np.ndarray, bodies: pa.Array, spread: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slices as rows with the anchor at column ``spread``, zeros around; and the bytes from the anchor on."""
+    data, starts, ends = _buffer(bodies)
+    columns, first = np.arange(spread + far)[None, :], (spread - left)[:, None]
+    out = np.zeros((len(left), spread + far), np.uint8)
+    out[(columns >= first) & (columns < first + (ends - starts)[:, None])] = data
+    return out, ends - starts - left
+
+
+def _keys(group: np.ndarray, strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte strings that sort by group, string, size (a string before its continuation with zero bytes)."""
+    out = np.concatenate((group.astype(">i8").view(np.uint8).reshape(-1, 8), strings, sizes.astype(">u2").view(np.uint8).reshape(-1, 2)), 1)
+    return np.ascontiguousarray(out).view(f"S{out.shape[1]}").ravel()
+
+
 class SuffixArrayFamily:
-    """Levels of suffix arrays over anchored slices (group, left, right); each pair of slices is compared once.
+    """Levels of suffix arrays over anchored slices; each pair of slices of a group is compared once.
 
-    ``add`` takes a batch; ``windows()`` gives for each slice, in the order added, which left lengths x begin a window
-    of x bytes left and ``length - x`` bytes right of the anchor that another slice of the group has as well.
+    ``add`` takes a batch: groups, least and greatest key of the texts that hold a slice, bytes left of the anchors,
+    slices. ``windows(rule)`` tells for each slice, in the order added, which left lengths x begin a window of x bytes left
+    and ``length - x`` bytes right of the anchor that another slice of the group has as well.
     """
 
-    def __init__(self, length: int = 400, spread: int = 336):
-        self.length, self.spread = length, spread
-        self.levels: list[list[int]] = []  # slice numbers in suffix order
-        self.group: list[int] = []
-        self.right: list[bytes] = []
-        self.back: list[bytes] = []  # left context, reversed
-        self.hit: list[np.ndarray] = []
-
-    def add(self, slices: list[tuple[int, bytes, bytes]]) -> None:
-        base = len(self.group)
-        for group, left, right in slices:
-            self.group.append(group)
-            self.right.append(right)
-            self.back.append(left[::-1])
-            self.hit.append(np.zeros(self.spread + 1, bool))
-        batch = self._sorted(range(base, len(self.group)))
-        self._scan(batch)
+    def __init__(self, rules: tuple[Rule, ...] = (Rule(),), spread: int = 336):
+        self.rules, self.spread, self.far = rules, spread, max(r.length for r in rules)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys, slice numbers
+        self.rows = np.zeros((0, spread + self.far), np.uint8)
+        self.group = self.low = self.high = self.left = self.right = np.zeros(0, np.int64)
+        self.edges = [np.zeros((0, spread + 2), np.int32) for _ in rules]  # where runs of windows begin (+) and end (-)
+
+    def add(self, group: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarray, bodies: pa.Array) -> None:
+        base, n = len(self.group), len(group)
+        rows, right = aligned(left, bodies, self.spread, self.far)
+        self.rows = np.concatenate((self.rows, rows))
+        self.group, self.low, self.high = np.append(self.group, group), np.append(self.low, low), np.append(self.high, high)
+        self.left, self.right = np.append(self.left, left), np.append(self.right, right)
+        self.edges = [np.concatenate((e, np.zeros((n, self.spread + 2), np.int32))) for e in self.edges]
+        keys = _keys(group, rows[:, self.spread :], right)
+        order = np.argsort(keys, kind="stable")
+        batch = keys[order], base + order
+        self._scan(batch[1])
         for level in self.levels:
-            self._merge_scan(batch, level)
+            shared = np.isin(self.group[level[1]], group)
+            if shared.any():
+                own = np.isin(self.group[batch[1]], self.group[level[1][shared]])
+                self._scan(self._merged((level[0][shared], level[1][shared]), (batch[0][own], batch[1][own]))[1])
         self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+        while len(self.levels) > 1 and len(self.levels[-2][1]) < 2 * len(self.levels[-1][1]):
             top = self.levels.pop()
-            self.levels[-1] = self._sorted(self.levels[-1] + top)  # two sorted runs: a merge
-
-    def _sorted(self, numbers) -> list[int]:
-        return sorted(numbers, key=lambda i: (self.group[i], self.right[i]))
+            self.levels[-1] = self._merged(self.levels[-1], top)
 
-    def _merge_scan(self, batch: list[int], level: list[int]) -> None:
-        mine = {self.group[i] for i in batch}
-        shared = [i for i in level if self.group[i] in mine]
-        if shared:
-            theirs = {self.group[i] for i in shared}
-            own = [i for i in batch if self.group[i] in theirs]
-            self._scan(self._sorted(shared + own), {i for i in own})
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """One sorted run of two."""
+        at = np.searchsorted(a[0], b[0], "right")
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
-    def _common(self, order: list[int], strings: list[bytes], width: int) -> np.ndarray:
+    def _common(self, order: np.ndarray, columns: slice, sizes: np.ndarray) -> np.ndarray:
         """Bytes each slice shares with the one before it in ``order``; -1 at a new group."""
-        out = np.full(len(order), -1, np.int32)
-        size = 4096
-        for at in range(1, len(order), size):
-            a, b = order[at - 1 : at + size - 1], order[at : at + size]
-            a = a[: len(b)]
-            x = np.frombuffer(b"".join(strings[i].ljust(width, b"\0") for i in a), np.uint8).reshape(-1, width)
-            y = np.frombuffer(b"".join(strings[i].ljust(width, b"\0") for i in b), np.uint8).reshape(-1, width)
-            differ = x != y
-            lcp = np.where(differ.any(1), differ.argmax(1), width)
-            lcp = np.minimum(lcp, [min(len(strings[i]), len(strings[j])) for i, j in zip(a, b)])
-            same = np.array([self.group[i] == self.group[j] for i, j in zip(a, b)])
-            out[at : at + len(b)] = np.where(same, lcp, -1)
+        out = np.full(len(order), -1, np.int64)
+        for at in range(1, len(order), 4096):
+            b = order[at : at + 4096]
+            a = order[at - 1 : at - 1 + len(b)]
+            differ = self.rows[a][:, columns] != self.rows[b][:, columns]
+            shared = np.where(differ.any(1), differ.argmax(1), differ.shape[1])
+            out[at : at + len(b)] = np.where(self.group[a] == self.group[b], np.minimum(shared, np.minimum(sizes[a], sizes[b])), -1)
         return out
 
-    def _scan(self, order: list[int], new: set[int] | None = None) -> None:
-        """Mark the windows that two slices of ``order`` share; with ``new``, only classes holding a new slice count."""
+    def _scan(self, order: np.ndarray) -> None:
+        """Mark the windows that two slices of ``order`` (in suffix order) share."""
         if len(order) < 2:
             return
-        rights = self._common(order, self.right, self.length)
-        place = {i: n for n, i in enumerate(order)}
-        lefts_order = sorted(order, key=lambda i: (self.group[i], self.back[i]))
-        lefts = self._common(lefts_order, self.back, self.spread)
-        left_at = np.array([place[i] for i in lefts_order])
-        right_len = np.array([len(self.right[i]) for i in order])
-        left_len = np.array([len(self.back[i]) for i in order])
-        n = len(order)
-        # slices alone in their group, or whose neighbours share too little on either side, cannot match
-        best_right = np.maximum(rights, np.append(rights[1:], -1))
-        near_left = np.empty(n, np.int32)
-        near_left[left_at] = np.maximum(lefts, np.append(lefts[1:], -1))
-        low, high = self.length - best_right, near_left
-        ok = (best_right >= 0) & (near_left >= 0) & (low <= high)
-        if not ok.any():
+        back = slice(self.spread - 1, None, -1) if self.spread else slice(0, 0)
+        backs = self.rows[order][:, : self.spread][:, ::-1]
+        by_left = order[np.argsort(_keys(self.group[order], backs, self.left[order]), kind="stable")]
+        rights = self._common(order, slice(self.spread, None), self.right)
+        lefts = self._common(by_left, back, self.left)
+        place = np.empty(int(order.max()) + 1, np.int64)  # of a slice in left order
+        place[by_left] = np.arange(len(order))
+        to_left = place[order]
+        start = np.flatnonzero(rights < 0)
+        size = np.diff(np.append(start, len(order)))
+        which = np.repeat(np.arange(len(start)), size)
+        for rule, edges in zip(self.rules, self.edges):
+            self._mark(rule, edges, order, rights, lefts, to_left, start, size, which)
+
+    def _mark(self, rule: Rule, edges: np.ndarray, order, rights, lefts, to_left, start, size, which) -> None:
+        """Classes of equal windows change only where x passes a shared length of two neighbours or the end of a slice."""
+        n, length = len(order), rule.length
+        best = np.maximum(rights, np.append(rights[1:], -1))
+        near = np.maximum(lefts, np.append(lefts[1:], -1))[to_left]
+        group_ok = np.zeros(len(start), bool)
+        group_ok[which[(best >= 0) & (length - best <= near)]] = True
+        if not group_ok.any():
             return
-        for x in range(max(0, int(low[ok].min())), min(self.spread, int(high[ok].max())) + 1):
-            take = np.flatnonzero(ok & (low <= x) & (high >= x) & (right_len >= self.length - x) & (left_len >= x))
-            if len(take) < 2:
-                continue
-            right_class = np.cumsum(rights < self.length - x)
-            left_class = np.empty(n, np.int64)
-            left_class[left_at] = np.cumsum(lefts < x)
-            pair = right_class[take] * np.int64(n + 1) + left_class[take]
-            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-            for i in take[count[inverse] > 1]:
-                self.hit[order[i]][x] = True
-
-    def windows(self) -> list[np.ndarray]:
-        return self.hit
+        x = np.concatenate((np.zeros(n, np.int64), length - rights, lefts + 1, length - self.right[order], self.left[order] + 1))
+        g = np.tile(which, 5)
+        event = np.unique((g * np.int64(self.spread + 1) + x)[(x >= 0) & (x <= self.spread) & group_ok[g]])
+        g, x = event // (self.spread + 1), event % (self.spread + 1)
+        until = np.where(np.append(g[1:] == g[:-1], False), np.append(x[1:], 0), self.spread + 1)
+        ends = np.cumsum(size[g])
+        at = 0
+        while at < len(g):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+            self._classes(rule, edges, order, rights, lefts, to_left, start[g[at:to]], size[g[at:to]], x[at:to], until[at:to])
+            at = to
+
+    def _classes(self, rule: Rule, edges, order, rights, lefts, to_left, start, size, x, until) -> None:
+        base = np.cumsum(size) - size
+        event = np.repeat(np.arange(len(x)), size)
+        inside = np.arange(len(event)) - base[event]
+        at, xs = start[event] + inside, x[event]
+        by_right = np.cumsum(rights[at] < rule.length - xs)
+        by_left = np.cumsum(lefts[at] < xs)[base[event] + to_left[at] - start[event]]
+        slices = order[at]
+        ok = np.flatnonzero((self.right[slices] >= rule.length - xs) & (self.left[slices] >= xs))
+        if len(ok) < 2:
+            return
+        pair = by_right[ok].astype(np.int64) << 32 | by_left[ok]
+        rank = np.argsort(pair, kind="stable")
+        ok, pair = ok[rank], pair[rank]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        if rule.across:
+            repeated = np.minimum.reduceat(self.low[slices[ok]], first) < np.maximum.reduceat(self.high[slices[ok]], first)
+        else:
+            repeated = np.diff(np.append(first, len(ok))) > 1
+        hit = ok[np.repeat(repeated, np.diff(np.append(first, len(ok))))]
+        np.add.at(edges, (slices[hit], xs[hit]), 1)
+        np.add.at(edges, (slices[hit], until[event[hit]]), -1)
+
+    def windows(self, rule: int = 0) -> np.ndarray:
+        return np.cumsum(self.edges[rule], axis=1)[:, :-1] > 0
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,139 +298,219 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], ends[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(ends) - 1]))]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(tk, text) with copies inside a task left out; tk: 64 bits of the text's SHA-256."""
+def window_hashes(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the strings that begin in the columns ``first``, for each row."""
+    up, down = _powers(rows.shape[1] + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+        np.cumsum(VALUES[rows] * up[: rows.shape[1]], axis=1, out=sums[:, 1:], dtype=np.uint64)
+        return _mixed((sums[:, first + size] - sums[:, first]) * down[first])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            keep = [k not in seen and not seen.add(k) for k in keys]
-            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, "tk long, text binary")
+def _new(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """Rows of texts not seen yet in this task."""
+    keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+    return batch.filter(pa.array([k not in seen and not seen.add(k) for k in keys], pa.bool_()))
 
 
-def repeated_bytes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, most: int = 20_000, carry: Column | None = None) -> DataFrame:
-    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set = set()
+    for b in batches:
+        yield _new(b, seen)
 
-    With ``carry``, a column of each row to keep: also ``carry``, and ``kept``, the text that is left (bytes of a
-    character cut in two go).
 
-    ``most``: contexts of one gram that a task takes; grams with more are dealt as pairs of blocks of that size.
-    """
-    import xxhash
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    spark, spread = df.sparkSession, length - gram
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    with_text = carry is not None
-    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([carry.alias("carry")] if with_text else [])).withColumn("sha", F.sha2("text", 256))
-    keyed = docs.withColumn("tk", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
-    long = keyed.where(F.octet_length("text") >= length).select("tk", "text")
+
+def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64, most: int = 20_000) -> DataFrame:
+    """(tk, tl, spans) for the distinct ``texts`` (tk, tl, text): anchors with what is repeated around them."""
+    short, far = min(r.length for r in rules), max(r.length for r in rules)
+    spread = short - gram
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = Anchors(length, gram), set()
-        for b in pages(batches):
-            keys = b.column(0).to_pylist()
-            b = b.filter(pa.array([k not in seen and not seen.add(k) for k in keys], pa.bool_()))
-            data, starts, ends = _buffer(b.column(1))
-            at, hashes = find.find(data, starts, ends)
+        find = Anchors(short, gram, far)
+        for b in pages(batches, 2):
+            data, starts, ends = _buffer(b.column(2))
+            at, grams, contexts = find.find(data, starts, ends)
             doc = np.searchsorted(starts, at, "right") - 1
-            low, high = np.maximum(starts[doc], at - spread), np.minimum(ends[doc], at + length)
-            view = memoryview(data)
-            ctx = np.array([xxhash.xxh3_64_intdigest(view[s:e], a - s) for s, e, a in zip(low.tolist(), high.tolist(), at.tolist())], np.uint64)
-            tk = b.column(0).to_numpy(zero_copy_only=False)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(tk), pa.array((at - starts[doc]).astype(np.int32))], names=["gram", "ctx", "tk", "pos"])
-
-    anchors = scratch(long.mapInArrow(anchored, "gram long, ctx long, tk long, pos int"), "anchors")
-    place = F.xxhash64("tk", "pos")
-    twice = anchors.groupBy("gram").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min("ctx").alias("c"), F.max("ctx").alias("d")).where("p < q").select("gram", (F.col("c") < F.col("d")).alias("several"))
-    again = scratch(anchors.join(twice, "gram"), "repeated")
-    contexts = again.groupBy("gram", "ctx").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("tk", "pos")).alias("rep"), F.first("several").alias("several"))
-    contexts = scratch(contexts.select("gram", "ctx", (F.col("p") < F.col("q")).alias("whole"), "several", "rep.tk", "rep.pos"), "contexts")
-
-    # texts with a repeated gram, and from them one slice for each context that must be compared
-    wanted = contexts.where("several").groupBy("tk").agg(F.collect_list(F.struct("gram", "ctx", "pos")).alias("wanted"))
-    touched = again.select("tk").distinct().join(wanted, "tk", "left")
+            new = np.ones(len(at), bool)  # equal neighbours are one run: their gap is less than a window
+            new[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1]) | (contexts[1:] != contexts[:-1]) | (at[1:] - at[:-1] > spread)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at))[: len(first)] - 1
+            key = doc[first]
+            columns = [grams[first].view(np.int64), contexts[first].view(np.int64), *(b.column(i).to_numpy(zero_copy_only=False)[key] for i in (0, 1)), (at[first] - starts[key]).astype(np.int32), (at[last] - starts[key]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "ctx", "tk", "tl", "pos", "last"])
+
+    anchors = scratch(texts.mapInArrow(anchored, "gram long, ctx long, tk long, tl long, pos int, last int"), "anchors")
+    times = F.sum(F.when(F.col("last") > F.col("pos"), 2).otherwise(1))
+    grams = scratch(anchors.groupBy("gram").agg(times.alias("n")).where("n > 1"), "grams")
+    again = scratch(heavy_join(anchors, grams, ["gram"], "n", anchors.count()).drop("n"), "repeated")
+    contexts = scratch(again.groupBy("gram", "ctx").agg(times.alias("n"), F.count("*").alias("rows"), F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min(F.struct(*KEY, "pos")).alias("rep")).select("gram", "ctx", "n", "rows", "t0", "t1", "rep.*"), "contexts")
+    several = scratch(contexts.groupBy("gram").agg(F.count("*").alias("several")).where("several > 1"), "several")
+    apart = scratch(heavy_join(contexts, several, ["gram"], "several", contexts.count()), "apart")
+
+    # one slice for each context that must be compared
+    wanted = apart.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "ctx", "pos", "t0", "t1", (F.col("several") > most).alias("hot"))).alias("wanted"))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pages(batches):
-            out = []
-            for tk, text, want in zip(b.column(0), b.column(1), b.column(2)):
-                raw, tk = text.as_py(), tk.as_py()
-                out.append((tk, raw, None, None, None, None))
-                out.extend((tk, None, w["gram"], w["ctx"], raw[max(0, w["pos"] - spread) : w["pos"]], raw[w["pos"] : w["pos"] + length]) for w in want.as_py() or ())
-            for at in range(0, len(out), 1024):
-                cols = list(zip(*out[at : at + 1024]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["tk", "text", "gram", "ctx", "lhs", "rhs"])
-
-    once = _texts(long.select("tk", "text"))
-    held = scratch(once.join(touched, "tk").select("tk", "text", "wanted").mapInArrow(sliced, "tk long, text binary, gram long, ctx long, lhs binary, rhs binary"), "texts")
-
-    # compare contexts of a gram
-    sizes = contexts.where("several").groupBy("gram").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / most).cast("int")
-    cells = scratch(sizes.select("gram", blocks.alias("blocks")).where("blocks > 1"), "hot")
-    total = contexts.where("several").count()
-    shards = max(1, -(-total // most)) * 4
-    slices = held.where("gram is not null").select("gram", "ctx", "lhs", "rhs").dropDuplicates(["gram", "ctx"])
-    slices = slices.join(cells, "gram", "left").withColumn("mine", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod("ctx", F.coalesce("blocks", F.lit(1)))))
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    slices = slices.withColumn("other", other).withColumn("cell", F.when(F.col("blocks").isNull(), F.pmod("gram", F.lit(shards))).otherwise(F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other"))))
+        names, types = ["gram", "ctx", "t0", "t1", "hot", "lhs", "body"], [*[pa.int64()] * 4, pa.bool_(), pa.int32(), pa.binary()]
+        for b in pages(batches, 2):
+            out: list[tuple] = []
+            for text, want in zip(b.column(2), b.column(3)):
+                raw = text.as_py()
+                for w in want.as_py():
+                    low = max(0, w["pos"] - spread)
+                    out.append((w["gram"], w["ctx"], w["t0"], w["t1"], w["hot"], w["pos"] - low, raw[low : w["pos"] + far]))
+                    if len(out) == 1024:
+                        yield _batch(out, names, types)
+                        out = []
+            yield _batch(out, names, types)
+
+    slices = scratch(texts.join(wanted, KEY).select(*KEY, "text", "wanted").mapInArrow(sliced, "gram long, ctx long, t0 long, t1 long, hot boolean, lhs int, body binary"), "slices")
+    cold = slices.where("not hot")
+    n_cold, n_hot = (slices.groupBy().agg(F.count(F.when(~F.col("hot"), 1)), F.count(F.when(F.col("hot"), 1)))).first()
+    shards = max(1, -(-n_cold // most)) * 4
 
     def compared(table: pa.Table) -> pa.Table:
-        family, keys = SuffixArrayFamily(length, spread), []
-        seen: set[tuple[int, int]] = set()
-        for b in table.to_batches(max_chunksize=2048):
-            rows = []
-            for g, c, left, right in zip(*(col.to_pylist() for col in b.columns[:4])):
-                if (g, c) not in seen:
-                    seen.add((g, c))
-                    rows.append((g, left, right))
-                    keys.append((g, c))
-            family.add(rows)
+        family, keys = SuffixArrayFamily(rules, spread), []
+        for b in table.combine_chunks().to_batches(max_chunksize=1024):
+            c = {name: b.column(n) for n, name in enumerate(b.schema.names)}
+            keys.append((c["gram"].to_numpy(), c["ctx"].to_numpy()))
+            family.add(c["gram"].to_numpy(), c["t0"].to_numpy(), c["t1"].to_numpy(), c["lhs"].to_numpy().astype(np.int64), c["body"])
+        grams, contexts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*keys)) or [(), ()]))
         out = []
-        for (g, c), hit in zip(keys, family.windows()):
-            if hit.any():
-                x = np.flatnonzero(hit)
-                s, e = runs(-x[::-1], length - x[::-1])
-                out.extend((g, c, int(a), int(b)) for a, b in zip(s, e))
-        cols = list(zip(*out)) or [(), (), (), ()]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["gram", "ctx", "lo", "hi"])
-
-    partial = slices.select("gram", "ctx", "lhs", "rhs", "cell").groupBy("cell").applyInArrow(lambda t: compared(t.select(["gram", "ctx", "lhs", "rhs"])), "gram long, ctx long, lo int, hi int")
-    found = partial.groupBy("gram", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
-    settled = contexts.select("gram", "ctx", "whole").join(found, ["gram", "ctx"], "left").where("whole or found is not null")
-    spans = again.select("gram", "ctx", "tk", "pos").join(settled, ["gram", "ctx"]).groupBy("tk").agg(F.collect_list(F.struct("pos", "whole", "found")).alias("spans"))
+        for k, rule in enumerate(rules):
+            hit = np.pad(family.windows(k), ((0, 0), (1, 1))).astype(np.int8)
+            (row, x0), x1 = np.nonzero(np.diff(hit, axis=1) == 1), np.nonzero(np.diff(hit, axis=1) == -1)[1]
+            out.append((grams[row], contexts[row], np.full(len(row), k), 1 - x1, rule.length - x0))
+        return pa.table([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out), (np.int64, np.int64, np.int32, np.int32, np.int32))], names=["gram", "ctx", "rule", "lo", "hi"])
+
+    kind = "gram long, ctx long, rule int, lo int, hi int"
+    found = cold.withColumn("cell", F.pmod("gram", F.lit(shards))).groupBy("cell").applyInArrow(lambda t: compared(t.drop_columns(["cell", "hot"])), kind)
+    if n_hot:
+        found = found.unionByName(_counted(slices.where("hot"), rules, spread, n_hot).select("gram", "ctx", "rule", "lo", "hi"))
+    found = found.groupBy("gram", "ctx").agg(F.collect_set(F.struct("rule", "lo", "hi")).alias("found"))
+    settled = contexts.select("gram", "ctx", "rows", (F.col("n") > 1).alias("twice"), (F.col("t0") < F.col("t1")).alias("across")).join(found, ["gram", "ctx"], "left").where("twice or found is not null")
+    settled = scratch(settled, "settled")
+    return heavy_join(again, settled, ["gram", "ctx"], "rows", again.count()).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "last", "twice", "across", "found")).alias("spans"))
+
+
+def _counted(slices: DataFrame, rules: tuple[Rule, ...], spread: int, n: int) -> DataFrame:
+    """What ``compared`` finds, for grams of any number of contexts: equal windows by their hashes, no group in a task."""
+    short, far = min(r.length for r in rules), max(r.length for r in rules)
+    bounds = np.unique(np.linspace(0, spread + 1, RANGES + 1).astype(np.int64))
+    low, high = bounds[:-1], bounds[1:] - 1  # left lengths of each range; its windows share what lies within all
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part.slice(at, 512) for part in batches for at in range(0, part.num_rows, 512)):
+            left = b.column(5).to_numpy().astype(np.int64)
+            rows, right = aligned(left, b.column(6), spread, far)
+            row, j = np.nonzero((left[:, None] >= low) & (right[:, None] >= short - high))
+            hashes = window_hashes(rows, spread - low, low + short - high)[row, j]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(j.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["gram", "ctx", "part", "h"])
+
+    parts_ = scratch(slices.mapInArrow(shared, "gram long, ctx long, part int, h long"), "parts")
+    key = ["gram", "part", "h"]
+    twice = scratch(parts_.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    able = heavy_join(parts_, twice, key, "n", n * len(low)).groupBy("gram", "ctx").agg(F.sum(F.expr("shiftleft(1, part)")).cast("int").alias("able"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.arange(spread + 1)
+        part = np.searchsorted(high, x)
+        for b in (p.slice(at, 256) for p in batches for at in range(0, p.num_rows, 256)):
+            left, able = b.column(5).to_numpy().astype(np.int64), b.column(7).to_numpy()
+            rows, right = aligned(left, b.column(6), spread, far)
+            for k, rule in enumerate(rules):
+                row, at = np.nonzero((left[:, None] >= x) & (right[:, None] >= rule.length - x) & (able[:, None] >> part & 1 > 0))
+                hashes = window_hashes(rows, spread - x, np.full(len(x), rule.length))[row, at]
+                columns = [b.column(i).take(pa.array(row)) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(row), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["gram", "ctx", "t0", "t1", "rule", "x", "h"])
+
+    each = slices.join(able, ["gram", "ctx"]).select("gram", "ctx", "t0", "t1", "hot", "lhs", "body", "able")
+    each = scratch(each.mapInArrow(windows, "gram long, ctx long, t0 long, t1 long, rule int, x int, h long"), "windows")
+    key = ["gram", "rule", "x", "h"]
+    across = F.element_at(F.array(*[F.lit(r.across) for r in rules]), F.col("rule") + 1)
+    again = each.groupBy(*key).agg(F.count("*").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1")).where(F.when(across, F.col("t0") < F.col("t1")).otherwise(F.col("n") > 1))
+    again = scratch(again.select(*key, "n"), "equal")
+    size = F.element_at(F.array(*[F.lit(r.length) for r in rules]), F.col("rule") + 1)
+    return heavy_join(each.select(*key, "ctx"), again, key, "n", each.count()).select("gram", "ctx", "rule", (-F.col("x")).alias("lo"), (size - F.col("x")).cast("int").alias("hi"))
+
+
+def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col: str = "text", gram: int = 64, most: int = 20_000, kept: int | None = None, carry: Column | None = None) -> DataFrame:
+    """One row per row: doc_id, n_bytes, and by the first rule n_removed, n_spans, kept_sha256.
+
+    ``kept``: the number of the rule whose remaining text is a column as well (bytes of a character cut in two go);
+    ``carry``: a column of each row to keep. ``most``: contexts of one gram that a task takes; grams with more are counted.
+    """
+    rules = rules or (Rule(),)
+    short = min(r.length for r in rules)
+    least = short if kept is None else max(short, rules[kept].length)
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([] if carry is None else [carry.alias("carry")])).withColumn("sha", F.sha2("text", 256))
+    for n, name in enumerate(KEY):
+        docs = docs.withColumn(name, F.conv(F.substring("sha", 1 + 15 * n, 15), 16, 10).cast("long"))
+    size = F.octet_length("text").cast("long")
+    small = [] if kept is None else [F.when(size < least, F.col("text")).alias("small")]
+    rows = scratch(docs.select("doc_id", *KEY, "sha", size.alias("n_bytes"), *small, *([] if carry is None else ["carry"])), "rows")
+    long = docs.where(size >= short).select(*KEY, "text")
+    texts = bucketed(long.mapInArrow(_distinct, "tk long, tl long, text binary"), KEY, "texts", _distinct)
+    spans = repeated_windows(texts, rules, gram=gram, most=most)
+    spread = short - gram
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pages(batches):
+        names, types = [*KEY, "removed", "spans", "kept_sha", "kept"], [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        for b in pages(batches, 2):
             out = []
-            for tk, text, spans in zip(b.column(0), b.column(1), b.column(2)):
-                raw, lo, hi = text.as_py(), [], []
-                for s in spans.as_py():
-                    if s["whole"]:
-                        lo.append(max(0, s["pos"] - spread))
-                        hi.append(min(len(raw), s["pos"] + length))
-                    for f in s["found"] or ():
-                        lo.append(s["pos"] + f["lo"])
-                        hi.append(s["pos"] + f["hi"])
-                s, e = runs(np.array(lo), np.array(hi))
-                kept = b"".join(raw[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), len(raw)]))
-                out.append((tk.as_py(), len(raw) - len(kept), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if with_text else None))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["tk", "removed", "spans", "kept_sha", "kept"])
-
-    copies = scratch(keyed.groupBy("tk").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    # copies of long texts go whole, so only texts of their own, which `held` has once, are cut
-    cut_out = held.where("gram is null").select("tk", "text").join(copies, "tk", "left_anti").join(spans, "tk").select("tk", "text", "spans").mapInArrow(removed, "tk long, removed long, spans long, kept_sha string, kept binary")
-    base = keyed.select("doc_id", "tk", "sha", F.octet_length("text").cast("long").alias("n_bytes"), *(["text", "carry"] if with_text else []))
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    done = base.join(copies, "tk", "left").join(cut_out, "tk", "left")
-    kept = [F.when(gone, F.lit(b"")).when(F.col("removed").isNotNull(), F.col("kept")).otherwise(F.col("text")).cast("string").alias("kept"), "carry"] if with_text else []
+            for tk, tl, text, spans in zip(*(b.column(i) for i in range(4))):
+                raw, spans = text.as_py(), spans.as_py()
+                one = [tk.as_py(), tl.as_py(), 0, 0, None, None]
+                for k, rule in enumerate(rules):
+                    lo, hi = [], []
+                    for s in spans:
+                        if s["across"] or s["twice"] and not rule.across:
+                            a, z = max(0, s["pos"] - spread), min(s["last"], len(raw) - rule.length)
+                            if a <= z:
+                                lo.append(a)
+                                hi.append(z + rule.length)
+                        else:
+                            here = [f for f in s["found"] or () if f["rule"] == k]
+                            lo += [s["pos"] + f["lo"] for f in here]
+                            hi += [s["last"] + f["hi"] for f in here]
+                    s, e = runs(np.array(lo), np.array(hi)) if lo else (np.zeros(0, np.int64),) * 2
+                    if rule.words:
+                        long = np.array([len(raw[i:j].split()) >= rule.words for i, j in zip(s.tolist(), e.tolist())], bool)
+                        s, e = s[long], e[long]
+                    if k and k != kept:
+                        continue
+                    left = b"".join(raw[i:j] for i, j in zip([0, *e.tolist()], [*s.tolist(), len(raw)]))
+                    if k == 0:
+                        one[2:5] = [len(raw) - len(left), len(s), hashlib.sha256(left).hexdigest()]
+                    if k == kept and len(s):
+                        one[5] = left.decode("utf-8", "ignore").encode()
+                if one[3] or one[5] is not None:
+                    out.append(tuple(one))
+            yield _batch(out, names, types)
+
+    copies = scratch(rows.groupBy(*KEY).agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    done = texts.join(spans, KEY).select(*KEY, "text", "spans").mapInArrow(removed, "tk long, tl long, removed long, spans long, kept_sha string, kept binary")
+    if kept is None:
+        done = done.drop("kept")
+    else:  # texts lie where they are; only what is left of those that were cut moves
+        done = texts.join(done, KEY, "left").select(*KEY, "removed", "spans", "kept_sha", F.coalesce("kept", "text").alias("kept"))
+    # rows of texts that many rows hold need no text: they go whole or are small
+    many = F.broadcast(copies.where(F.col("copies") * 1000 > rows.count()))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("removed", "long"), ("spans", "long"), ("kept_sha", "string"), *([("kept", "binary")] if kept is not None else []))]
+    hot = rows.join(many, KEY).select("*", *nothing)
+    rest = rows.join(many.select(*KEY), KEY, "left_anti").join(copies, KEY, "left").join(done, KEY, "left")
+    done = hot.unionByName(rest)
+    gone = lambda rule: (F.col("copies") > 1) & (F.col("n_bytes") >= rule.length)
+    more = [] if kept is None else [F.when(gone(rules[kept]), F.lit(b"")).otherwise(F.coalesce("kept", "small")).cast("string").alias("kept")]
     return done.select(
         "doc_id", "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, EMPTY_SHA).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"), *kept,
+        F.when(gone(rules[0]), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone(rules[0]), 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(gone(rules[0]), EMPTY_SHA).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+        *more, *([] if carry is None else ["carry"]),
     )

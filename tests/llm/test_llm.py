@@ -6,9 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meridian.llm import additive_ann, fuzzy_simhash, html_text, language_id, mixing, nra_topk, packing, suffix_dedup, token_counts, url_filter
@@ -90,34 +92,85 @@ def test_language_id(spark):
     assert min((code[i] != code[j]).sum() for i in range(5) for j in range(i)) >= 7
 
 
-def brute_repeats(texts, size):
+def brute_repeats(texts, size, across=False, words=0):
     raws = [(t or "").encode() for t in texts]
-    seen = Counter(r[i : i + size] for r in raws for i in range(len(r) - size + 1))
+    seen = {}
+    for n, r in enumerate(raws):
+        for i in range(len(r) - size + 1):
+            seen.setdefault(r[i : i + size], set()).add(n if across else (n, i))
     out = []
     for r in raws:
         gone = np.zeros(len(r), bool)
         for i in range(len(r) - size + 1):
-            if seen[r[i : i + size]] > 1:
+            if len(seen[r[i : i + size]]) > 1:
                 gone[i : i + size] = True
+        edges = np.diff(np.concatenate(([0], gone.astype(int), [0])))
+        for a, b in zip(np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)):
+            if len(r[a:b].split()) < words and raws.count(r) == 1:
+                gone[a:b] = False
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        out.append((len(r), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~gone])).hexdigest()))
+        left = bytes(np.frombuffer(r, np.uint8)[~gone])
+        out.append((len(r), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left))
     return out
 
 
-def test_suffix_dedup(spark):
-    rng = random.Random(3)
+def passages(rng):
     words = lambda n: " ".join("".join(rng.choices("abcdeé", k=5)) for _ in range(n))
-    passages = [words(20) for _ in range(4)]
-    texts = [words(rng.randint(0, 30)) + (p := rng.choice(passages))[rng.randint(0, 20) : rng.randint(len(p) - 20, len(p))] + words(rng.randint(0, 30)) for _ in range(60)]
-    texts += [texts[0], "a" * 300, "ab" * 90, "a" * 79, "", None, "b" * 100 + words(9) + "b" * 90]
+    shared = [words(20) for _ in range(4)]
+    texts = [words(rng.randint(0, 30)) + (p := rng.choice(shared))[rng.randint(0, 20) : rng.randint(len(p) - 20, len(p))] + words(rng.randint(0, 30)) for _ in range(60)]
+    texts += [texts[0], texts[1], texts[1], "a" * 300, "ab" * 90, "a" * 79, "a" * 50, "a" * 50, "", None, None, "b" * 100 + words(9) + "b" * 90, "\0" * 90 + "x", "\0" * 95, (words(6) + "\n") * 9]
+    return texts
+
+
+def test_suffix_dedup(spark):
+    texts = passages(random.Random(3))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = Counter((i, *w) for i, w in enumerate(brute_repeats(texts, 80)))
-    for most in (20_000, 3):  # the second deals each frequent gram as pairs of blocks
-        got = suffix_dedup.repeated_bytes(df, length=80, gram=16, most=most).collect()
+    want = Counter((i, *w[:4]) for i, w in enumerate(brute_repeats(texts, 80)))
+    for most in (20_000, 3):  # the second counts the windows of each frequent gram
+        got = suffix_dedup.repeated_bytes(df, suffix_dedup.Rule(80), gram=16, most=most).collect()
         assert Counter(tuple(r) for r in got) == want
     assert suffix_dedup.repeated_bytes(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_by_two_rules(spark):
+    texts = passages(random.Random(13))
+    df = spark.createDataFrame([(i % 50, t, i, i) for i, t in enumerate(texts)], "doc_id long, text string, tk long, sha long")
+    far, near = suffix_dedup.Rule(80), suffix_dedup.Rule(40, 9, True)
+    first, second = brute_repeats(texts, 80), brute_repeats(texts, 40, True, 9)
+    want = {i: (i % 50, *a[:4], b[4].decode("utf-8", "ignore")) for i, (a, b) in enumerate(zip(first, second))}
+    for most in (20_000, 3):
+        got = suffix_dedup.repeated_bytes(df, far, near, gram=16, most=most, kept=1, carry=F.struct("tk", "sha")).collect()
+        assert len(got) == len(texts)
+        assert {r.carry.tk: (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept) for r in got} == want
+
+
+def test_suffix_family_in_batches():
+    rng = np.random.default_rng(12)
+    n, spread, rules = 700, 24, (suffix_dedup.Rule(40), suffix_dedup.Rule(56, across=True))
+    group, text = rng.integers(0, 12, n), rng.integers(0, 40, n)
+    left = rng.integers(0, spread + 1, n)
+    bodies = [bytes(rng.choice(3, size=k + int(rng.integers(16, 57)), p=(0.96, 0.03, 0.01)).astype(np.uint8)) for k in left]
+    family = suffix_dedup.SuffixArrayFamily(rules, spread)
+    for at in range(0, n, 50):
+        part = slice(at, at + 50)
+        family.add(group[part], text[part], text[part], left[part], pa.array(bodies[part], pa.binary()))
+        sizes = [len(level[1]) for level in family.levels]
+        assert sum(sizes) == at + 50 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert len(family.levels) > 1
+    for k, rule in enumerate(rules):
+        seen = {}
+        for i in range(n):
+            for x in range(left[i] + 1):
+                w = bodies[i][left[i] - x : left[i] - x + rule.length]
+                if len(w) == rule.length:
+                    seen.setdefault((group[i], x, w), []).append(i)
+        want = np.zeros((n, spread + 1), bool)
+        for (_, x, _), rows in seen.items():
+            if len({text[i] for i in rows} if rule.across else rows) > 1:
+                want[rows, x] = True
+        assert want.any() and (family.windows(k) == want).all()
+
+
 def test_simhash(spark):
     rng = random.Random(4)
     base = [" ".join(rng.choices("alpha beta gamma delta eps zeta eta theta".split(), k=400)) for _ in range(6)]
