@@ -41,8 +41,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that are elsewhere too are cut from the texts; documents stay, n_chars follows."""
-    done = suffix_dedup.repeated_bytes(docs, carry=_others(docs, "text"))
+    """Passages of over 50 words (51 words of 200 bytes or more) that other documents hold too are cut from the texts.
+
+    Every copy goes; documents stay, n_chars follows. What repeats only inside a document stays.
+    """
+    done = suffix_dedup.repeated_bytes(docs, suffix_dedup.PASSAGES, kept=0, carry=_others(docs, "text"))
     new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return done.select(*[(new[c] if c in new else F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
 
