@@ -324,7 +324,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64, most: int = 20_000) -> DataFrame:
+def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64, most: int = 4_000) -> DataFrame:
     """(tk, tl, spans) for the distinct ``texts`` (tk, tl, text): anchors with what is repeated around them."""
     short, far = min(r.length for r in rules), max(r.length for r in rules)
     spread = short - gram
@@ -438,7 +438,7 @@ def _counted(slices: DataFrame, rules: tuple[Rule, ...], spread: int, n: int) ->
     return heavy_join(each.select(*key, "ctx"), again, key, "n", each.count()).select("gram", "ctx", "rule", (-F.col("x")).alias("lo"), (size - F.col("x")).cast("int").alias("hi"))
 
 
-def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col: str = "text", gram: int = 64, most: int = 20_000, kept: int | None = None, carry: Column | None = None) -> DataFrame:
+def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col: str = "text", gram: int = 64, most: int = 4_000, kept: int | None = None, carry: Column | None = None) -> DataFrame:
     """One row per row: doc_id, n_bytes, and by the first rule n_removed, n_spans, kept_sha256.
 
     ``kept``: the number of the rule whose remaining text is a column as well (bytes of a character cut in two go);
