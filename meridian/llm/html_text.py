@@ -16,8 +16,10 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +34,94 @@ RAW = frozenset("script style textarea title iframe noscript template".split())
 #: Fixed values of HTML: start tags that end an open element of these names, up to a bound.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("ul ol dl table menu select body".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>=]+|=)*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
+STOP = re.compile("[.!?…。]")
 
 
 class Block:
-    __slots__ = ("links", "names", "tags", "text")
-
-    def __init__(self, text: str, tags: tuple[str, ...], names: tuple[str, ...], links: int):
-        self.text, self.tags, self.names, self.links = text, tags, names, links
+    """A block's text, the open elements around it (their number, names, the last two, the last that is a block, a number for the path) and characters in links."""
+
+    __slots__ = ("deep", "last", "leaf", "links", "names", "path", "tags", "text")
+
+    def __init__(self, text: str, links: int, tags: frozenset, names: frozenset, path: int, last: tuple[str, ...], leaf: str, deep: int):
+        self.text, self.links, self.tags, self.names = text, links, tags, names
+        self.path, self.last, self.leaf, self.deep = path, last, leaf, deep
+
+
+class OpenElements:
+    """The stack of open elements; what a step needs to know of it is kept by name, so no step walks down the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...], int]] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.words: Counter[str] = Counter()
+        self.paths: dict[tuple[int, str], int] = {}
+        self.hidden = self.links = 0
+        self._tags: frozenset | None = None
+        self._names: frozenset | None = None
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        at = len(self.stack)
+        path = self.paths.setdefault((self.stack[-1][2] if at else 0, tag), len(self.paths) + 1)
+        self.stack.append((tag, words, path))
+        places = self.where.setdefault(tag, [])
+        if not places:
+            self._tags = None
+        places.append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+        for w in words:
+            self.words[w] += 1
+            if self.words[w] == 1:
+                self._names = None
+        self.hidden += tag in HIDDEN
+        self.links += tag == "a"
+
+    def pop_to(self, n: int) -> None:
+        """Ends the elements from place ``n`` on."""
+        while len(self.stack) > n:
+            tag, words, _ = self.stack.pop()
+            places = self.where[tag]
+            places.pop()
+            if not places:
+                self._tags = None
+                del self.where[tag]
+            if tag in BLOCKS:
+                self.blocks.pop()
+            for w in words:
+                self.words[w] -= 1
+                if not self.words[w]:
+                    self._names = None
+                    del self.words[w]
+            self.hidden -= tag in HIDDEN
+            self.links -= tag == "a"
+
+    def nearest(self, tags: frozenset | set) -> int:
+        return max((self.where[t][-1] for t in tags if t in self.where), default=-1)
+
+    def start(self, tag: str) -> None:
+        """Ends what a start tag of this name ends."""
+        if tag in BLOCKS and self.blocks and self.stack[self.blocks[-1]][0] == "p":  # inline elements end with their block
+            self.pop_to(self.blocks[-1])
+        while tag in CLOSES:
+            n = self.nearest(CLOSES[tag])
+            if n <= self.nearest(BOUNDS):
+                break
+            self.pop_to(n)
+            if tag != "tr" or not self.stack or self.stack[-1][0] != "tr":
+                break
+
+    def block(self, text: str, linked: int) -> Block:
+        if self._tags is None:
+            self._tags = frozenset(self.where)
+        if self._names is None:
+            self._names = frozenset(self.words)
+        leaf = self.stack[self.blocks[-1]][0] if self.blocks else "-"
+        last = tuple(t for t, _, _ in self.stack[-2:])
+        return Block(text, min(linked, len(text)), self._tags, self._names, self.stack[-1][2] if self.stack else 0, last, leaf, min(len(self.stack), 8))
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
@@ -49,29 +129,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    around_ = OpenElements()
     text: list[str] = []
-    hidden = link = linked = 0
+    linked = 0
 
     def end() -> None:
         nonlocal linked
         whole = " ".join(entities.unescape("".join(text)).split())
         if whole:
-            out.append(Block(whole, tuple(t for t, _ in stack), tuple(w for _, ws in stack for w in ws), min(linked, len(whole))))
+            out.append(around_.block(whole, linked))
         text.clear()
         linked = 0
 
-    def pop() -> None:
-        nonlocal hidden, link
-        tag, _ = stack.pop()
-        hidden -= tag in HIDDEN
-        link -= tag == "a"
-
     def add(piece: str) -> None:
         nonlocal linked
-        if not hidden and piece:
+        if not around_.hidden and piece:
             text.append(piece)
-            if link:
+            if around_.links:
                 linked += len(piece)
 
     at, size = 0, len(page)
@@ -92,30 +166,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             add(" ")
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+            if tag in around_.where:
+                around_.pop_to(around_.where[tag][-1])
             continue
-        if tag in BLOCKS:  # a paragraph ends at any block; inline elements end with their block
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == "p":
-                    while len(stack) > n:
-                        pop()
-                    break
-                if stack[n][0] in BLOCKS:
-                    break
-        if tag in CLOSES:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] in CLOSES[tag]:
-                    while len(stack) > n:
-                        pop()
-                    if tag != "tr" or stack and stack[-1][0] != "tr":
-                        break
-                elif stack[n][0] in BOUNDS:
-                    break
+        around_.start(tag)
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(page, at)
             at = close.start() if close else size
@@ -123,9 +177,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             words = ()
             if "=" in m[3]:
                 words = tuple(w for _, a, b, c in NAMES.findall(m[3]) for w in NAME_WORD.findall((a or b or c).lower()))
-            stack.append((tag, words))
-            hidden += tag in HIDDEN
-            link += tag == "a"
+            around_.push(tag, words)
     end()
     return out
 
@@ -141,29 +193,27 @@ def keys(blocks: list[Block]) -> list[tuple]:
         text, size = b.text, len(b.text)
         words = text.count(" ") + 1
         marks = "".join(c for c in "©|·»" if c in text)
-        short = text[:2000]
-        stops = min(3, sum(map(short.count, ".!?…。")))
+        stops = sum(1 for _ in islice(STOP.finditer(text), 3))
         shape = (_bin(words), b.links * 399 // (100 * size), stops, i * 4 // n, words > 20 and b.links < 0.3 * size, text[-1] in ".!?…。:", marks)
-        near = None if before is None else (before.tags[-1:] == b.tags[-1:], before.tags == b.tags)
-        out.append((b.tags, b.names, shape, near))
+        near = None if before is None else (before.last[-1:] == b.last[-1:], before.path == b.path)
+        out.append(((b.tags, b.names, b.leaf, b.deep), b.last, shape, near))
         before = b
     return out
 
 
-def around(tags: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
-    leaf = next((t for t in reversed(tags) if t in BLOCKS), "-")
-    return [*(f"in:{t}" for t in sorted(set(tags)) if t not in ("html", "body")), *(f"name:{w}" for w in sorted(set(names))), "bias", f"leaf:{leaf}", f"deep:{min(len(tags), 8)}"]
+def around(tags: frozenset, names: frozenset, leaf: str, deep: int) -> list[str]:
+    return [*(f"in:{t}" for t in sorted(tags) if t not in ("html", "body")), *(f"name:{w}" for w in sorted(names)), "bias", f"leaf:{leaf}", f"deep:{deep}"]
 
 
-def within(tags: tuple[str, ...], shape: tuple, near: tuple | None) -> list[str]:
-    leaf = next((t for t in reversed(tags) if t in BLOCKS), "-")
-    words, links, stops, place, long, last, marks = shape
-    f = [f"words:{words}", f"links:{links}", f"stops:{stops}", f"place:{place}", f"leafwords:{leaf}:{min(words, 5)}", f"long:{long}", f"last:{last}", *(f"mark:{c}" for c in marks)]
+def within(last: tuple[str, ...], shape: tuple, near: tuple | None) -> list[str]:
+    leaf = next((t for t in reversed(last) if t in BLOCKS), "-")
+    words, links, stops, place, long, end, marks = shape
+    f = [f"words:{words}", f"links:{links}", f"stops:{stops}", f"place:{place}", f"leafwords:{leaf}:{min(words, 5)}", f"long:{long}", f"last:{end}", *(f"mark:{c}" for c in marks)]
     return f if near is None else [*f, f"before:{near[0]}:{near[1]}"]
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    return [around(tags, names) + within(tags[-2:], shape, near) for tags, names, shape, near in keys(blocks)]
+    return [around(*outer) + within(*inner) for outer, *inner in keys(blocks)]
 
 
 class ChainField:
@@ -178,14 +228,13 @@ class ChainField:
         out, kept = [], self.kept
         if len(kept) > 50_000:
             kept.clear()
-        for tags, names, shape, near in keys(blocks):
-            a = kept.get((tags, names))
+        for outer, *inner in keys(blocks):
+            a = kept.get(outer)
             if a is None:
-                a = kept[tags, names] = self._sum(around(tags, names))
-            inner = tags[-2:]
-            b = kept.get((inner, shape, near))
+                a = kept[outer] = self._sum(around(*outer))
+            b = kept.get(tuple(inner))
             if b is None:
-                b = kept[inner, shape, near] = self._sum(within(inner, shape, near))
+                b = kept[tuple(inner)] = self._sum(within(*inner))
             out.append((a[0] + b[0], a[1] + b[1]))
         return out
 
@@ -251,8 +300,8 @@ class ChainField:
         return cls({f: (float(w[n, 0]), float(w[n, 1])) for f, n in names.items()}, pairs, first)
 
 
-def labelled_pages(count: int = 160, seed: int = 17) -> list[tuple[str, list[str]]]:
-    """(html, content blocks) of seeded layouts: the training pages."""
+def labelled_pages(count: int = 160, seed: int = 17, bare: bool = False) -> list[tuple[str, list[str]]]:
+    """(html, content blocks) of seeded layouts: the training pages. ``bare``: the article has no element of its own."""
     r = random.Random(seed)
     syllables = "an ba chi do er fi gu hal in ka lo mu ne or pi qua re sta tu ve wo zen él ö".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.choice((1, 1, 2, 2, 3, 4))))
@@ -314,7 +363,10 @@ def labelled_pages(count: int = 160, seed: int = 17) -> list[tuple[str, list[str
                 inner.append(r.choice((advert, side, form))())
         holder = r.choice(("article", "article", "article", "main", "main><article", "div class=content", "div id=article", "div class=post-body", "section class=story"))
         closing = "</article></main>" if "><" in holder else f"</{holder.split()[0]}>"
-        body.append(f"<{holder}>" + "".join(inner) + closing)
+        if bare:
+            holder, closing = "", ""
+            body = body if r.random() < 0.6 else []
+        body.append((f"<{holder}>" if holder else "") + "".join(inner) + closing)
         if r.random() < 0.35:
             name = r.choice(("comments", "comment-list", "responses", "discussion comments"))
             body.append(f'<section class="{name}"><h3>{phrase(1, 2)}</h3>' + "".join(f'<{r.choice(("div", "article"))} class=comment><p>{para()}</p></div>' for _ in range(r.randint(1, 4))) + "</section>")
@@ -340,8 +392,8 @@ def labelled_blocks(page: str, truth: list[str]) -> tuple[list[list[str]], list[
 
 @cache
 def trained() -> ChainField:
-    """The field fitted on the labelled pages (seeded: the same everywhere)."""
-    return ChainField.fit([x for x in (labelled_blocks(*p) for p in labelled_pages()) if x[1]])
+    """The field fitted on the labelled pages (seeded: the same everywhere), a quarter of them without a holder."""
+    return ChainField.fit([x for x in (labelled_blocks(*p) for p in labelled_pages() + labelled_pages(56, 23, bare=True)) if x[1]])
 
 
 def main_text(page: str | None, field: ChainField) -> str:
