@@ -1,11 +1,13 @@
 """Exact top-k inner products by no-random-access aggregation over sorted component lists.
 
-Each dimension of a block of vectors is a sorted list; a query walks it down from the top where its own component is
-positive and up from the bottom where it is negative, all lists to the same depth. A vector's lower bound takes what was
-read of it and, for what was not, the list's far end; its upper bound takes the list's reading point. Both bounds are
-inner products too (components not read yet are replaced), so a round bounds a block for many queries at once. A query
-stops when fewer vectors are left than it pays to read on for: outsiders' upper bounds lie below its k-th lower bound
-and cannot qualify. The scores of those left are then resolved; with lists read to their end the bounds are the scores.
+Each dimension of a block of vectors is a sorted list. A query reads its lists heaviest component first, each from the
+end where its own component's sign puts the greatest products, first to the middle, then to the end: a step takes the
+next ``front`` lists to the middle and those before them to the end. With every row's norm stored beside the lists, what a
+row's score lacks is bounded: a list read to its middle gives the reading point as an upper bound for the rows not met,
+and the lists not begun give at most the query's norm there times the norm that the row has left (Cauchy and Schwarz).
+After each step the k-th best lower bound is the bar; rows whose upper bound lies below it are outsiders and cannot
+qualify. A query stops once no more than an eighth of the rows, or ``few``, could still do so, and the scores of those
+are resolved. A step's bounds are inner products too, so many queries of a block are bounded at once.
 
 Components are floor(256 * x) as integers. Arithmetic is in floats where all sums stay exact, else in Python integers;
 a score beyond a long is clamped to it. Defined results: vectors null or with null or non-finite components take no part;
@@ -21,10 +23,6 @@ from pyspark.sql import functions as F
 
 from .vectors import best_of, matrix, search_in_blocks, usable
 
-#: Parts of the lists after which bounds are compared.
-DEPTHS = (0.4, 0.6, 0.75)
-
-
 def quantised(v: np.ndarray) -> tuple[np.ndarray, type]:
     """floor(256 x), and the type in which inner products of such rows are exact."""
     x = np.floor(v * 256)
@@ -36,47 +34,61 @@ def quantised(v: np.ndarray) -> tuple[np.ndarray, type]:
     return np.array([[int(c) for c in row] for row in x], object).reshape(x.shape), object
 
 
-def nra_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, few: int = 256) -> tuple[list, list, list]:
-    """Best ``k`` of a block for each query row; ``x`` by rows in order of ``ids``."""
+def nra_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, front: int = 8, few: int = 16, lists_read: list[int] | None = None) -> tuple[list, list, list]:
+    """Best ``k`` of a block for each query row; ``x`` by rows in order of ``ids``.
+
+    ``lists_read`` gets, for each query, how many lists were read to their end when it stopped.
+    """
     n, out_q, out_i, out_s = len(ids), [], [], []
+    few = max(few, 2 * k, n // 8)
 
-    def give(row: int, places: np.ndarray, scores: np.ndarray) -> None:
+    def give(row: int, places: np.ndarray, scores: np.ndarray, read: int) -> None:
         top = best_of(ids[places], scores, q_ids[row], k)
         out_q.extend([int(q_ids[row])] * len(top))
         out_i.extend(ids[places[top]].tolist())
         out_s.extend(max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores[top])
-
-    active = np.arange(len(q_ids))
-    if x.dtype != object and n > 4 * few:
-        lists = np.sort(x, axis=0)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        for depth in DEPTHS:
-            if not len(active):
-                break
-            at = min(n - 1, int(depth * n))
-            top, bottom = lists[n - 1 - at], lists[at]  # reading points from above and below
-            low_up, low_down = np.where(x >= top, x, lists[0]), np.where(x <= bottom, x, lists[-1])
-            high_up, high_down = np.maximum(x, top), np.minimum(x, bottom)
-            going = []
-            for at_q in range(0, len(active), 256):
-                rows = active[at_q : at_q + 256]
-                low = up[rows] @ low_up.T + down[rows] @ low_down.T
-                high = up[rows] @ high_up.T + down[rows] @ high_down.T
-                others = ids[None, :] != q_ids[rows][:, None]  # an id may have any number of rows
-                kth = np.partition(np.where(others, low, -np.inf), n - k, axis=1)[:, n - k]
-                left = others & (high >= kth[:, None])
-                for r, mine in zip(rows, left):
-                    places = np.flatnonzero(mine)
-                    if len(places) <= few:
-                        give(r, places, x[places] @ q[r])
-                    else:
-                        going.append(r)
-            active = np.array(going, np.int64)
-    every = np.arange(n)
-    for at_q in range(0, len(active), 256):  # lists read to their end
-        rows = active[at_q : at_q + 256]
-        for r, scores in zip(rows, q[rows] @ x.T if x.dtype != object else [x.dot(q[r]) for r in rows]):
-            give(r, every, scores)
+        if lists_read is not None:
+            lists_read.append(read)
+
+    active, width = np.arange(len(q_ids)), x.shape[1]
+    if x.dtype == object:  # beyond the range of floats: no bounds, all lists are read
+        for r in active:
+            give(r, np.arange(n), x.dot(q[r]), width)
+        return out_q, out_i, out_s
+    lists = np.sort(x, axis=0)
+    above, below = lists[n // 2], lists[(n - 1) // 2]  # reading points half way down and half way up
+    met_down, met_up = x >= above, x <= below
+    down, up = np.where(met_down, x, 0), np.where(met_up, x, 0)
+    norm = (x * x).sum(1)
+    products = np.concatenate((x, down, up), 1).T
+    squares = np.concatenate((x * x, down * down, up * up), 1).T
+    missed = np.concatenate((np.where(met_down, 0, above), np.where(met_up, 0, below)), 1).T
+    rank = np.argsort(np.argsort(-np.abs(q), axis=1, kind="stable"), axis=1)
+    for step in range(width // front + 1):
+        going = []
+        for at in range(0, len(active), 256):
+            rows = active[at : at + 256]
+            mine, r = q[rows], rank[rows]
+            whole, half = r < step * front, (r >= step * front) & (r < (step + 1) * front)
+            pos, neg = half & (mine > 0), half & (mine < 0)
+            part = np.concatenate((mine * whole, mine * pos, mine * neg), 1) @ products
+            rest = np.sqrt(np.maximum(norm - np.concatenate((whole, pos, neg), 1).astype(x.dtype) @ squares, 0))
+            unread = np.sqrt(((mine * ~whole) ** 2).sum(1))[:, None] * rest
+            point = np.concatenate((mine * pos, mine * neg), 1) @ missed + np.sqrt(((mine * ~(whole | half)) ** 2).sum(1))[:, None] * rest
+            slack = 1 + 1e-5 * unread  # for the roots' rounding
+            others = ids[None, :] != q_ids[rows][:, None]  # an id may have any number of rows
+            low = np.where(others, part - unread - slack, -np.inf)
+            bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(rows), -np.inf)
+            left = others & (part + np.minimum(unread, point) + slack >= bar[:, None])
+            for row, may in zip(rows, left):
+                places = np.flatnonzero(may)
+                if len(places) <= few or (step + 1) * front >= width:
+                    give(row, places, x[places] @ q[row], min(width, step * front))
+                else:
+                    going.append(row)
+        active = np.array(going, np.int64)
+        if not len(active):
+            break
     return out_q, out_i, out_s
 
 
