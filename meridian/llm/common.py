@@ -6,14 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir`` where the session has it.
 
-    Only where that setting is absent (tests, notebooks on one machine) a temporary folder is made.
+    Only where that setting is absent and the master is local (tests, notebooks) a temporary folder is made.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="meridian-")
         sc.setCheckpointDir(named)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -65,6 +67,26 @@ def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(F.broadcast(heavy), keys).unionByName(light)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none of their names can meet an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits of all columns (those with maps inside as JSON): struct(a, b)."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
+
+
+def repeated(df: DataFrame, times: str, name: str, most: int = 4096) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``name``; rows with more than ``most`` are dealt in pieces first."""
+    few = df.where(F.col(times) <= most).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times).cast("long") - 1)))
+    many = df.where(F.col(times) > most).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) div {most}"))))
+    many = many.repartition(parts(df.sparkSession), F.xxhash64(name, times))
+    many = many.withColumn(name, F.explode(F.sequence(F.col(name) * most, F.least((F.col(name) + 1) * most, F.col(times).cast("long")) - 1)))
+    return few.unionByName(many)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, row_key, whole_row
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0xC75
@@ -157,14 +157,13 @@ def near_duplicate_components(df: DataFrame, *, id_col: str = "doc_id", text_col
 
 
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``df`` with one left of each component: that of the smallest id (then of the smallest text hash)."""
+    """The rows of ``df`` with one left of each component: that of the smallest id (then text hash, then row hash); columns of any name pass through."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = df.withColumn("__at", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h")))
-    marks = cut(fingerprints(hashed, id_col="__at", text_col=text_col, words=words).withColumnRenamed("doc_id", "at"))
+    at = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.lit(1), text).alias("g"), F.xxhash64(F.lit(2), text).alias("h"))
+    rows = df.select(at.alias("at"), F.col(text_col).alias("text"), row_key(df).alias("key"), whole_row(df).alias("row"))
+    marks = cut(fingerprints(rows, id_col="at", text_col="text", words=words).withColumnRenamed("doc_id", "at"))
     named = fingerprint_components(marks.select(F.col("at.i").alias("doc_id"), "fp"), max_bits).select("fp", "root")
-    winners = marks.join(named, "fp").groupBy("root").agg(F.min("at").alias("at"))
-    key = F.xxhash64("__at.n", "__at.i", "__at.h")
-    chosen = winners.select(F.xxhash64("at.n", "at.i", "at.h").alias("__key"))
-    kept = hashed.withColumn("__key", key).join(chosen, "__key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))  # equal rows: the first
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    winners = marks.join(named, "fp").groupBy("root").agg(F.min("at").alias("at")).select("at")
+    kept = rows.select("at", "key", "row").join(winners, "at", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("at").orderBy("key"))
+    return kept.withColumn("nth", nth).where("nth = 1").select("row.*")

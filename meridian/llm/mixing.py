@@ -6,7 +6,7 @@ A document is taken floor(e) times for sure, e = target / source size, and once
 The pivotal method settles that: two open documents trade words (probability times size), in a random direction chosen
 so that each keeps its expectation, until one of them is settled; the other goes on. A leaf of the reduction tree settles
 all but one of its documents, the open ones meet in the next level's nodes, and the root's last one is drawn. Every trade
-keeps the number of words, so a source misses its target by less than one document.
+keeps the number of words, so a source misses its target by less than its last open document, which may be a long one.
 
 Randomness is a hash of the ids, so reruns agree, whatever the partitioning. A source's leaves are dealt by hash and hold
 about ``fan`` documents, so a source of any size is spread evenly.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, repeated, row_key, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,8 +41,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     rows = rows.withColumn("budget", F.least(share * F.sum("source_size").over(every), F.sum("most").over(every)))
     full, light = F.coalesce(F.sum("most").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     rows = rows.withColumn("level", (F.col("budget") - full) / (F.sum("weight").over(every) - light))
-    # the level is right at the first source that it does not fill
-    level = F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", "level"))).over(every)["level"]
+    # the level is right at the first source that it does not fill, of sources filled alike the one with the highest
+    level = -F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", (-F.col("level")).alias("below")))).over(every)["below"]
     return rows.withColumn("target", F.least("most", F.coalesce(level * F.col("weight"), F.col("most")))).drop("weight", "most", "fills_at", "budget", "level")
 
 
@@ -79,14 +79,16 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     """One row per row: doc_id, size, source_size, target, taken, copies (and ``carry``, a small column to keep)."""
     docs = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(None).cast("long") if carry is None else carry).alias("carry")))
     sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    # equal rows are numbered, so that they spread over the leaves like others
+    docs = repeated(docs.groupBy("doc_id", "source", "size", "carry").agg(F.count("*").alias("times")), "times", "nth").drop("times")
     plan = cut(targets(sums, weights, share, cap))
     e = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("sure", F.floor(e).cast("int")).withColumn("p", e - F.floor(e))
     rows = docs.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "size", F.lit("leaf")), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / fan))))
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit("leaf")), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / fan))))
     fixed = (F.col("size") == 0) | (F.col("p") <= 0) | (F.col("p") >= 1)
     # long documents trade first, so that short ones are left to settle them
-    item = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "size").alias("h"), F.col("doc_id"), F.col("carry"), F.col("size"), F.when(fixed, F.lit(None).cast("double")).otherwise(F.col("p")).alias("p"))
+    item = F.struct((-F.col("size")).alias("order"), F.xxhash64("doc_id", "size", "nth").alias("h"), F.col("doc_id"), F.col("carry"), F.col("size"), F.when(fixed, F.lit(None).cast("double")).otherwise(F.col("p")).alias("p"))
     same = ["source", "leaf", "source_size", "target", "sure"]
     leaves = rows.groupBy(*same).agg(F.array_sort(F.collect_list(item)).alias("docs"))
     numbered = F.transform("docs", lambda d, i: F.struct(F.struct(d["h"].alias("h"), i.cast("long").alias("n")).alias("key"), d["size"].cast("double").alias("size"), d["p"].alias("p")))
@@ -123,11 +125,10 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def repeat_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it. Equal rows share what they are taken together."""
-    key = F.xxhash64(id_col, source_col, text_col)
-    taken = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, carry=key, **settings)
-    times = taken.groupBy(F.col("carry").alias("__key")).agg(F.sum("copies").cast("int").alias("__times")).where("__times > 0")
-    rows = df.withColumn("__key", key).join(times, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    rows = rows.withColumn("__nth", nth).where("__nth = 1").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df``, each as often as the mix takes it; columns of any name pass through. Rows equal in all columns share what they are taken together."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), row_key(df).alias("key"), whole_row(df).alias("row"))
+    taken = mix(rows, id_col="id", carry=F.col("key"), **settings)
+    times = taken.groupBy(F.col("carry").alias("key")).agg(F.sum("copies").alias("times")).where("times > 0")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    once = rows.select("key", "row").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return repeated(once.join(times, "key"), "times", "nth").select("row.*")
