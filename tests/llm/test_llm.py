@@ -1,7 +1,9 @@
 """The ten operators and the pipeline against brute force, with the edge cases that their docstrings define."""
 
 import hashlib
+import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -224,6 +226,20 @@ def test_searches(spark):
         assert f(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 4, 500, 2000])
+def test_top_k_stops_before_the_lists_end(n):
+    rng = np.random.default_rng(n)
+    x = np.floor(rng.normal(size=(n, 64)) * 32).astype(np.float32)
+    ids, read = np.arange(n), []
+    got = nra_topk.nra_block(ids[::50], x[::50], ids, x, 5, lists_read=read)
+    want = []
+    for own in ids[::50]:
+        s = x @ x[own]
+        want += [(own, i, int(s[i])) for i in [j for j in np.lexsort((ids, -s)) if j != own][:5]]
+    assert sorted(zip(*got)) == sorted(want)
+    assert n < 500 or np.mean(np.array(read) <= 48) > 0.9
+
+
 def test_top_k_with_repeated_ids():
     rng = np.random.default_rng(11)
     x = np.floor(rng.normal(size=(1500, 16)) * 256).astype(np.float32)
@@ -236,7 +252,7 @@ def test_top_k_with_repeated_ids():
     for own, v in zip((700, 700, 20), q):
         s = x @ v
         want += [(own, int(ids[i]), int(s[i])) for i in [j for j in np.lexsort((ids, -s)) if ids[j] != own][:5]]
-    assert list(zip(got_q, got_i, got_s)) == want
+    assert sorted(zip(got_q, got_i, got_s)) == sorted(want)
 
 
 def test_url_filter(spark):
@@ -275,6 +291,86 @@ def test_mixing(spark):
     assert mixing.mix(odd_rows(spark)).count() == 8 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    rows = [(None, "w w w", "a")] * 700 + [(3, "w " * 9, "a")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, share=0.5, fan=8).toPandas()
+    assert len(got) == 1000 and abs(got.taken.sum() - got.target[0]) < 9
+    assert 0 < (got[got["size"] == 3].taken > 0).mean() < 1
+
+
+def water_level(sizes, weights, share, cap):
+    """Brute force: the excess of full sources reshared until none is above its cap."""
+    most, left, full = {s: cap * n for s, n in sizes.items()}, share * sum(sizes.values()), {}
+    left = min(left, sum(most.values()))
+    while True:
+        open_ = [s for s in sizes if s not in full]
+        rest = left - sum(full.values())
+        got = {s: rest * weights[s] / sum(weights[t] for t in open_) for s in open_}
+        over = [s for s in open_ if got[s] > most[s] + 1e-9]
+        if not over:
+            return full | got
+        full |= {s: float(most[s]) for s in over}
+
+
+def test_mixing_targets_are_the_water_level(spark):
+    rng = random.Random(14)
+    for _ in range(2):
+        sizes = {f"s{i:02d}": rng.choice([0, 1, 5, 40, 400, 3000]) for i in range(9)}
+        weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))}
+        want = water_level({s: n for s, n in sizes.items() if n}, weights, 1.5, 2.0)
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n long")
+        for r in mixing.targets(df, (3.0, 1.0, 2.0), 1.5, 2.0).collect():
+            assert abs(r.target - want.get(r.source, 0.0)) < 1e-6
+
+
+def test_columns_of_any_name_pass(spark):
+    schema = "doc_id long, text string, source string, `__at` int, `__key` int, key string, row int, times int, nth int, `a.b` map<string,int>"
+    rows = [(i, f"some words of text number {i} " * 30, "s", 11, 22, "k", i, 3, 4, {"x": i}) for i in range(20)]
+    df = spark.createDataFrame(rows, schema)
+    for got in (fuzzy_simhash.keep_one_of_each(df), mixing.repeat_documents(df, share=1.0, cap=1.0)):
+        assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == sorted(rows, key=lambda r: r[0])
+    again = df.select("doc_id", "text", "source", "row").union(df.select("doc_id", "text", "source", F.col("row") + 100))
+    kept = fuzzy_simhash.keep_one_of_each(again).collect()
+    assert len(kept) == 20
+    doubled = mixing.repeat_documents(again, share=2.0, cap=2.0).collect()
+    assert Counter(r.row for r in doubled) == {r: 2 for r in [*range(20), *range(100, 120)]}
+
+
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(15)
+    page = "<body>" + "".join(f"<p class=c{i}>{'word ' * int(n)}</p>" for i, n in enumerate(rng.integers(1, 30, 7)))
+    blocks = html_text.leaf_blocks(page)
+    names = sorted({f for fs in html_text.features(blocks) for f in fs})
+    for _ in range(20):
+        field = html_text.ChainField({f: tuple(rng.normal(size=2)) for f in names}, rng.normal(size=(2, 2)), rng.normal(size=2))
+        emit = field.emissions(blocks)
+        score = lambda y: field.first[y[0]] + sum(e[k] for e, k in zip(emit, y)) + sum(field.pairs[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        assert abs(score(field.decode(blocks)) - max(map(score, itertools.product((0, 1), repeat=len(blocks))))) < 1e-9
+
+
+def test_html_of_broken_pages():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    assert texts("<p class=it's>hello there</p>") == ["hello there"]
+    assert texts('<div title="a>hello</div><p class="x">b</p>') == ["hello", "b"]
+    assert texts('<a href="x>y" title=\'a"b\'>c</a>') == ["c"]
+    assert texts("<p>a<b>c<p>d") == ["ac", "d"]
+    assert texts("<table><tr><td>a<td>b<tr><td>c</table><ul><li>x<ul><li>y<li>z</ul><li>w</ul>") == ["a", "b", "c", "x", "y", "z", "w"]
+    long = "<span>" * 30_000 + "<div>x</div>" * 300 + "</b>" * 30_000 + "<li>y" * 300
+    began = time.time()
+    assert len(html_text.leaf_blocks(long)) == 600 and time.time() - began < 5
+    field, article = html_text.trained(), "Just a paragraph on a bare page, of some length, that says what it has to say. And then it goes on a little."
+    assert html_text.main_text(f"<html><body><p>{article}</p></body></html>", field) == article
+
+
+def test_language_decoding_against_every_codeword(spark):
+    rows = [(i, t, lang) for lang, t in (("en", "the cat and the dog went out"), ("de", "der Hund und die Katze gingen"), ("fr", "le chien et le chat sont partis"), ("es", "el perro y el gato se fueron")) for i in range(60)]
+    df = spark.createDataFrame([(n, f"{t} {i}", lang) for n, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string").withColumn("held_out", language_id.held_out())
+    model = language_id.fit(df.where("not held_out"))
+    got = language_id.identify(df.where("held_out"), model, keep=("lang",)).collect()
+    assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) == len(got) and all(0 <= r.score <= 1 for r in got)
+
+
 def test_pipeline_stages(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
     rng = random.Random(9)
