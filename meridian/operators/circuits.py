@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .layouts import ALIASES, CALLED_MAIN, IS_MAIN, IS_OTHER, LIKE_TRACK, LONGEST, MAIN, METRES_A_POINT, OTHER, SAME_DEGREES, SAME_METRES, SAMPLES, SHORTER
-from .routes import CLOSE_M, FUZZY, Branch, Chain, Node, Route, Section, Way, WayGraph, apart, best_component, box_area, closed_if_near, end_gap, length, route, stitch, without_repeats
+from .routes import CLOSE_M, FUZZY, Branch, Chain, Node, Route, Section, Way, WayGraph, apart, best_component, box_area, closed_if_near, collapse_backtracks, end_gap, length, route, stitch, turn_reversed_sections, without_repeats
 
 #: Names of pits, of layouts and of layouts that are shorter ones.
 PIT = re.compile(r"pit[\s\-_]*lane|pit[\s\-_]*road|pitlane|pitroad|support[\s\-_]*pit|\bpit\s*$|boxen(?:stra[sß]e|gasse)", re.I)
@@ -455,3 +455,37 @@ def build_layouts(venues: DataFrame, batch_rows: int = 64) -> DataFrame:
 
     kind = venues.schema["track"].dataType.simpleString()
     return venues.select("track", "name", "hints", "elements").mapInArrow(run, f"track {kind}, layouts array<{LAYOUT_DDL}>, names array<string>, error string")
+
+
+def best_routes(venues: DataFrame) -> DataFrame:
+    """(track, name, ways array<struct<id, name, nodes>>) -> (track, ways, nodes, metres, area, gap): the best component and its route."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for venue, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                ways = [Way(w["id"], [(p["lat"], p["lon"]) for p in w["nodes"]], {"name": w["name"]}) for w in rows or () if len(w["nodes"] or ()) > 1]
+                own = best_component(ways, lambda name, venue=venue: like(name, venue))
+                whole = route(own)
+                out.append(([w.id for w in own], chain_rows(whole.nodes), whole.metres, whole.area, whole.gap) if whole else (None,) * 5)
+            columns = zip(*out)
+            types = (pa.list_(pa.int64()), pa.list_(NODE), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["track", "ways", "nodes", "metres", "area", "gap"])
+
+    kind = venues.schema["track"].dataType.simpleString()
+    return venues.select("track", "name", "ways").mapInArrow(run, f"track {kind}, ways array<bigint>, nodes array<struct<lat:double,lon:double>>, metres double, area double, gap double")
+
+
+def cleaned_chains(chains: DataFrame) -> DataFrame:
+    """(chain, nodes) -> (chain, nodes): repeats and backtracks gone, reversed sections turned, closed where the ends are near. Null nodes stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rows in b.column(1).to_pylist():
+                nodes = None if rows is None else closed_if_near(turn_reversed_sections(collapse_backtracks(without_repeats([(p["lat"], p["lon"]) for p in rows]))))
+                out.append(None if nodes is None else chain_rows(nodes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(NODE))], names=["chain", "nodes"])
+
+    kind = chains.schema["chain"].dataType.simpleString()
+    return chains.select("chain", "nodes").mapInArrow(run, f"chain {kind}, nodes array<struct<lat:double,lon:double>>")

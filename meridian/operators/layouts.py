@@ -47,7 +47,7 @@ def compare(track: Column):
     Names are compared without marks and case, then lower case first, as a dictionary has them.
     """
     by = lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0)
-    fold = lambda n: F.lower(text.strip_marks(F.coalesce(n, F.lit(""))))
+    fold = lambda n: F.lower(text.strip_latin_marks(F.coalesce(n, F.lit(""))))
 
     def order(a: Column, b: Column) -> Column:
         ranks = [F.coalesce(x["source_rank"], F.lit(0)) for x in (a, b)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Words of venues and of layouts, and what an identifier looks like.
 VENUE = r"(?iu)\b(international circuit|circuit|autodrome|autodromo|raceway|speedway|ring)\b"
 VARIANT = r"(?iu)\b(layout|variant|alternate|alternative|historic|historical|original|modified|grand\s+prix|gp\b|national|club|endurance|inner|outer|short|oval|\d{4})\b"
 RAW_ID = r"(?i)^q\d+$"
@@ -18,18 +19,21 @@ SCORES = {"exact-label": 5000, "exact-alias": 4700, "exact-short-name": 4550, "e
 def build_index(venues: DataFrame) -> DataFrame:
     """(venue_id, label, aliases, short_name, city, country, type, lat, lon) -> with normal forms, phrases, tokens, counts.
 
-    Rows without a label or alias, without a finite position, or named by a raw identifier only are left out.
+    A label that is empty or a raw identifier gives way to the first alias that is neither. Rows without a normal form of
+    either, without a finite position, or named by raw identifiers only are left out.
     """
-    named = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
-    real = F.filter(named, lambda n: n.isNotNull() & (T.collapse_space(n) != ""))
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    rows = venues.where((F.size(real) > 0) & finite(F.col("lat")) & finite(F.col("lon")) & F.exists(real, lambda n: ~n.rlike(RAW_ID)))
-    aliases = F.array_distinct(F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: T.collapse_space(a)), lambda a: a != ""))
-    rows = rows.withColumn("aliases", aliases).withColumn("label", T.collapse_space(F.coalesce("label", F.get("aliases", F.lit(0)))))
-    rows = rows.withColumns({"n_label": T.search_text(F.col("label")), "n_aliases": F.array_distinct(F.filter(F.transform("aliases", lambda a: T.search_text(a)), lambda a: a != "")), "n_short": T.search_text(F.col("short_name")), "n_city": T.search_text(F.col("city")), "n_country": T.search_text(F.col("country"))})
+    aliases = F.array_distinct(F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), T.collapse_space), lambda a: a != ""))
+    rows = venues.where(finite(F.col("lat")) & finite(F.col("lon"))).withColumns({"aliases": aliases, "given": T.collapse_space(F.col("label")), **{c: T.collapse_space(F.col(c)) for c in ("short_name", "city", "country")}})
+    useful = lambda n: (n != "") & ~n.rlike(RAW_ID)
+    rows = rows.withColumn("label", F.when(useful(F.col("given")), F.col("given")).otherwise(F.coalesce(F.get(F.filter("aliases", useful), F.lit(0)), F.col("given"))))
+    rows = rows.withColumns({"n_label": T.search_text(F.col("label")), "n_aliases": T.search_texts(F.col("aliases")), "n_short": T.search_text(F.col("short_name")), "n_city": T.search_text(F.col("city")), "n_country": T.search_text(F.col("country"))})
+    named = (F.col("n_label") != "") | (F.size("n_aliases") > 0)
+    rows = rows.where(named & (useful(F.col("given")) | F.exists("n_aliases", useful)))
     phrases = F.array_distinct(F.filter(F.flatten(F.array(F.array("n_label"), "n_aliases", F.array("n_short", "n_city", "n_country"))), lambda p: p != ""))
-    rows = rows.withColumn("phrases", phrases).withColumn("tokens", F.array_distinct(F.flatten(F.transform("phrases", lambda p: T.tokens_of(p)))))
-    return rows.withColumns({"token_count": F.size("tokens"), "alias_count": F.size("aliases"), "label_words": F.size(T.tokens_of(F.col("n_label"))), "name": T.display_name(F.col("label"), F.col("city"), F.col("country"))})
+    rows = rows.withColumn("phrases", phrases).withColumn("tokens", F.array_distinct(F.flatten(F.transform("phrases", T.tokens_of))))
+    name = T.display_name(F.col("label"), F.col("city"), F.col("country"), F.col("n_city"), F.col("n_country"))
+    return rows.withColumns({"token_count": F.size("tokens"), "alias_count": F.size("aliases"), "label_words": F.size(T.tokens_of(F.col("given"))), "name": name}).drop("given")
 
 
 def rank(index: DataFrame, queries: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ PHRASED = f"""base AS ({INDEX_SQL}), idx AS (
   SELECT *, [n_label, n_alias, n_city, n_country] AS phrases, list_distinct(flatten([string_split(n_label, ' '), string_split(n_alias, ' '), string_split(n_city, ' '), string_split(n_country, ' ')])) AS tokens FROM base)"""
 ORACLES = {
     "search_index": f"""WITH {PHRASED} SELECT venue_id, name, n_label, array_to_string(phrases, '|') AS phrases, array_to_string(list_sort(tokens), '|') AS tokens,
-  CAST(len(tokens) AS INTEGER) AS token_count, 1 AS alias_count, CAST(len(list_distinct(string_split(n_label, ' '))) AS INTEGER) AS label_words FROM idx""",
+  CAST(len(tokens) AS INTEGER) AS token_count, 1 AS alias_count, CAST(len(list_distinct(string_split(label, ' '))) AS INTEGER) AS label_words FROM idx""",
     "search_rank": f"""WITH {PHRASED}, asked AS (
   SELECT query, {NORMAL.format("query")} AS q, list_distinct(string_split({NORMAL.format("query")}, ' ')) AS qt FROM (VALUES {", ".join(f"('{q}')" for q in ASKED)}) t(query)
 ), m AS (

@@ -30,6 +30,25 @@ def test_text_forms(spark):
     assert tuple(row) == ("nurburgring and spa francorchamps", "nurburgring-spa-francorchamps", "n rburgring spa francorchamps")
 
 
+def test_text_forms_of_other_letters(spark):
+    rows = [("Việt ế ﬁn Ａ ①",), ("São Tomé",), (None,), ("e\u0301 ½",), ("Ⅳ ½ x² ª",)]
+    got = spark.createDataFrame(rows, "v string").select(T.search_text(F.col("v")), T.slug(F.col("v"))).collect()
+    assert [r[0] for r in got] == ["viet e fin a 1", "sao tome", "", "e 1 2", "iv 1 2 x2 a"] and got[0][1] == "viet-e-fin-a-1"
+    each = spark.createDataFrame([(["Ａ b", "Ü", ""],), (["x", "X"],), (None,)], "v array<string>").select(T.search_texts(F.col("v"))).collect()
+    assert [r[0] for r in each] == [["a b", "u"], ["x"], None]
+
+
+def test_index_of_odd_names(spark):
+    rows = [
+        ("a", "Q123", ["Spa  Park"], None, "São Tomé", "Sao Tome"), ("b", "", ["Monza", "M"], None, "x", "y"), ("c", "Q1", ["q2"], None, None, None), ("d", " ", [], None, None, None),
+        ("e", "A & A ring", None, " ", None, "y"), ("f", None, None, "GP", "x", "y"), ("g", "Ế", [], None, "x", ""),
+    ]
+    venues = spark.createDataFrame([(*r, None, 1.0, 2.0) for r in rows], "venue_id string, label string, aliases array<string>, short_name string, city string, country string, type string, lat double, lon double")
+    got = {r.venue_id: r for r in search.build_index(venues).collect()}
+    assert {k: r["name"] for k, r in got.items()} == {"a": "Spa Park - São Tomé", "b": "Monza - x, y", "e": "A & A ring - y", "g": "Ế - x"}
+    assert got["a"].label_words == 1 and got["b"].label_words == 0 and got["e"].label_words == 3 and got["e"].n_label == "a and a ring" and got["g"].tokens == ["e", "x"]
+
+
 def test_retry_delay(spark):
     rows = spark.createDataFrame([("please wait 3 minutes",), ("try again in 3 minutes",), ("soon",)], "b string").select(T.retry_delay_seconds(F.col("b"))).collect()
     assert [r[0] for r in rows] == [180, None, None]
