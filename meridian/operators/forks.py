@@ -15,28 +15,36 @@ def arcs(edges: DataFrame) -> DataFrame:
     return e.select("track", F.col("a").alias("at"), F.col("b").alias("to"), "eid", "length").unionByName(e.select("track", F.col("b").alias("at"), F.col("a").alias("to"), "eid", "length"))
 
 
-def branches(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def branches(edges: DataFrame) -> DataFrame:
     """(track, fork, merge, eids, length): ways from a vertex of three edges or more over vertices of two, to the next that has not two.
 
-    Ways that come back to themselves are none. All ways of all tracks take a step at a time by equi-joins, those that
-    have arrived leave, and each round is cut by a checkpoint; there are as many rounds as the longest branch has edges.
+    Ways that come back to themselves are none. Each direction of an edge points at the one before it, over a vertex of two;
+    pointers double until all are at a begin, so rounds (an equi-join and a checkpoint each) are the logarithm of the
+    longest way. Rings without a begin never get there and are dropped.
     """
-    both = cut(arcs(edges))
-    degree = cut(both.groupBy("track", F.col("at").alias("head")).agg(F.count("*").alias("n")))
-    begin = both.join(degree.where("n >= 3").withColumnRenamed("head", "at"), ["track", "at"]).where("to <> at")
-    now = begin.select("track", F.col("at").alias("fork"), F.col("to").alias("head"), F.col("eid").alias("last"), F.array("eid").alias("eids"), F.array("at", "to").alias("seen"), "length")
-    found = None
-    for _ in range(rounds):
-        stood = cut(now.join(degree, ["track", "head"]))
-        there = stood.where("n <> 2").select("track", "fork", F.col("head").alias("merge"), "eids", "length")
-        found = there if found is None else found.unionByName(there)
-        going = stood.where("n = 2").drop("n")
-        if going.isEmpty():
-            return found
-        step = both.select("track", F.col("at").alias("head"), "to", F.col("eid").alias("by"), F.col("length").alias("add"))
-        on = going.join(step, ["track", "head"]).where((F.col("by") != F.col("last")) & ~F.array_contains("seen", F.col("to")))
-        now = on.select("track", "fork", F.col("to").alias("head"), F.col("by").alias("last"), F.array_append("eids", F.col("by")).alias("eids"), F.array_append("seen", F.col("to")).alias("seen"), (F.col("length") + F.col("add")).alias("length"))
-    raise RuntimeError("branches did not end")
+    e = edges.select("track", "eid", "a", "b", F.col("length").cast("double").alias("length"))
+    way = lambda n, a, b: e.select("track", F.struct("eid", F.lit(n).alias("way")).alias("arc"), F.col(a).alias("at"), F.col(b).alias("to"), "length")
+    both = way(0, "a", "b").unionByName(way(1, "b", "a"))
+    degree = cut(both.groupBy("track", F.col("at").alias("v")).agg(F.count("*").alias("n")))
+    of = lambda end: degree.select("track", F.col("v").alias(end), F.col("n").alias(f"n_{end}"))
+    every = cut(both.join(of("at"), ["track", "at"]).join(of("to"), ["track", "to"]))
+    before = every.select("track", F.col("to").alias("at"), F.col("arc").alias("up"))
+    inner = every.where("n_at = 2").join(before, ["track", "at"]).where("up.eid <> arc.eid").select("track", "arc", "up", F.lit(1).cast("long").alias("steps"))
+    state = cut(every.select("track", "arc").join(inner, ["track", "arc"], "left").select("track", "arc", F.coalesce("up", "arc").alias("up"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps")))
+    done = state.agg(F.count("*"), F.sum("steps")).first()
+    for _ in range((done[0] or 0).bit_length() + 1):
+        far = state.select("track", F.col("arc").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"))
+        state = cut(state.join(far, ["track", "up"]).select("track", "arc", F.col("top").alias("up"), (F.col("steps") + F.col("more")).alias("steps")))
+        total = state.agg(F.sum("steps")).first()[0]
+        if total == done[1]:
+            break
+        done = (done[0], total)
+    begins = every.where("n_at >= 3").select("track", F.col("arc").alias("up"), F.col("at").alias("fork"))
+    step = F.struct("steps", F.col("arc.eid").alias("eid"), "to", "n_to", "length")
+    paths = state.join(begins, ["track", "up"]).join(every, ["track", "arc"]).groupBy("track", "up", "fork").agg(F.array_sort(F.collect_list(step)).alias("path"))
+    last = F.element_at("path", -1)
+    paths = paths.where((last["n_to"] != 2) & (last["to"] != F.col("fork")))
+    return paths.select("track", "fork", last["to"].alias("merge"), F.transform("path", lambda s: s["eid"]).alias("eids"), F.aggregate("path", F.lit(0.0), lambda t, s: t + s["length"]).alias("length"))
 
 
 def fork_sections(edges: DataFrame, backbone: Column | None = None) -> DataFrame:

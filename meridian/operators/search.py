@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,7 +11,8 @@ from ..functions import text as T
 VENUE = r"(?iu)\b(international circuit|circuit|autodrome|autodromo|raceway|speedway|ring)\b"
 VARIANT = r"(?iu)\b(layout|variant|alternate|alternative|historic|historical|original|modified|grand\s+prix|gp\b|national|club|endurance|inner|outer|short|oval|\d{4})\b"
 RAW_ID = r"(?i)^q\d+$"
-BROADCAST = 10_000
+#: Letters of the pieces by which texts that hold one another meet.
+GRAM = 3
 #: Scores of the match categories.
 SCORES = {"exact-label": 5000, "exact-alias": 4700, "exact-short-name": 4550, "exact-city": 4300, "exact-phrase": 4000, "prefix-label": 3600, "prefix-alias": 3350, "prefix-short-name": 3825, "prefix-phrase": 3100, "substring": 900}
 
@@ -36,15 +37,31 @@ def build_index(venues: DataFrame) -> DataFrame:
     return rows.withColumns({"token_count": F.size("tokens"), "alias_count": F.size("aliases"), "label_words": F.size(T.tokens_of(F.col("given"))), "name": name}).drop("given")
 
 
-def rank(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query) x index -> (query, venue_id, name, rank_score, match_category, position), only what matches.
+def _grams(value: Column) -> Column:
+    """Strings of up to ``GRAM`` letters that a text holds."""
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - n + 1, F.lit(1))), lambda i: F.substring(value, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[at(n) for n in range(1, GRAM + 1)])))
+
+
+def candidates(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, venue_id): pairs that share a token, or of which one may hold the other: the begin of the one is a piece of the other.
 
-    Index rows are tried against each query, in one pass over the index; a query list of up to ``BROADCAST`` rows goes to
-    every executor, a longer one is dealt out.
+    Three equi-joins; which pairs match, and how, is decided on these alone.
     """
+    phrases = index.select("venue_id", F.explode("phrases").alias("phrase"))
+    begin = lambda c: F.substring(c, 1, GRAM)
+    by_token = index.select("venue_id", F.explode("tokens").alias("key")).join(asked.select("q", F.explode("qt").alias("key")), "key")
+    held = phrases.select("venue_id", F.explode(_grams(F.col("phrase"))).alias("key")).distinct().join(asked.select("q", begin("q").alias("key")), "key")
+    holds = phrases.select("venue_id", begin("phrase").alias("key")).distinct().join(asked.select("q", F.explode(_grams(F.col("q"))).alias("key")), "key")
+    pairs = [x.select("q", "venue_id") for x in (by_token, held, holds)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+
+
+def rank(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query) and index -> (query, venue_id, name, rank_score, match_category), only what matches."""
     asked = queries.select("query", T.search_text(F.col("query")).alias("q")).where("q <> ''").withColumn("qt", T.tokens_of(F.col("q")))
-    few = asked.limit(BROADCAST + 1).count() <= BROADCAST
-    rows = index.join(F.broadcast(asked) if few else asked)
+    pairs = candidates(index, asked.select("q", "qt").distinct())
+    rows = pairs.join(index, "venue_id").join(asked, "q")
     q, qt = F.col("q"), F.col("qt")
     matched, covers, share = T.overlap(qt, F.col("tokens"))
     by_tokens = F.when(covers, 2500).otherwise(1800) + matched * 140 + T.half_up(matched / F.size(qt) * 200) + T.half_up(share * 80)

@@ -120,6 +120,15 @@ def part_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("model", "part", "triangles", F.col("ok").cast("int").alias("ok"), models.part_failed().cast("int").alias("failed"))
 
 
+def sweep_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of nations' models that fail, and the nations of a region that is not built."""
+    n = table(spark, sf_dir, "nation")
+    report = part_reports(spark, sf_dir)
+    counts = report.select("model", "part", *[(F.col("failed") if c == "crossings" else F.lit(0)).alias(c) for c in models.COUNTS])
+    builds = n.select(F.col("n_nationkey").alias("model"), F.when(F.col("n_regionkey") == 2, F.concat(F.lit("no base of "), "n_name")).alias("error"))
+    return models.sweep_failures(builds, counts).select("model", F.coalesce("part", F.lit("")).alias("part"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def edge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c, d = (F.get("embedding", F.lit(i)).cast("double") for i in range(4))
     return table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", models.edge_key(a, b, c, d).alias("edge"))
@@ -175,7 +184,7 @@ def trimmed_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("l_orderkey", F.coalesce("a_to.lat", F.lit(-1.0)).alias("a_to"), F.coalesce("b_from.lat", F.lit(-1.0)).alias("b_from"))
 
 
-QUERIES = {f.__name__: f for f in (document_shapes, known_positions, geometry_or_error, layout_picker, layout_names, layout_groups, length_targets, circuit_ways, first_ways, valid_cache, listed_segments, export_documents, text_ranks, model_parts, part_reports, edge_keys, outline_rings, flat_triangles, best_turns, anchored_slices, trimmed_ways)}
+QUERIES = {f.__name__: f for f in (document_shapes, known_positions, geometry_or_error, layout_picker, layout_names, layout_groups, length_targets, circuit_ways, first_ways, valid_cache, listed_segments, export_documents, text_ranks, model_parts, part_reports, sweep_failures, edge_keys, outline_rings, flat_triangles, best_turns, anchored_slices, trimmed_ways)}
 
 LAYOUT_RE = documents.LAYOUT.replace("(?iu)", "")
 KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
@@ -208,6 +217,8 @@ SELECT 'Q' || r_regionkey AS track_id, '{"trackId":"Q' || r_regionkey || '","nam
     "part_reports": """WITH c AS (SELECT c_nationkey AS model, CASE WHEN c_mktsegment < 'C' THEN 'base' WHEN c_mktsegment < 'H' THEN 'track' END AS part, c_acctbal AS b FROM customer),
 p AS (SELECT n_nationkey AS model, part FROM nation, (VALUES ('base'), ('secondary'), ('track')) v(part)), r AS (SELECT p.model, p.part, count(b) AS triangles, count(*) FILTER (WHERE b < -900) AS e, count(*) FILTER (WHERE b < -950) AS d, count(*) FILTER (WHERE b < 0) AS t FROM p LEFT JOIN c ON c.model = p.model AND c.part = p.part GROUP BY ALL)
 SELECT model, part, triangles, CAST(max(e + d) OVER (PARTITION BY model) = 0 AS INTEGER) AS ok, CAST(t > 0 AS INTEGER) AS failed FROM r""",
+    "sweep_failures": """WITH c AS (SELECT DISTINCT c_nationkey AS model, CASE WHEN c_mktsegment < 'C' THEN 'base' WHEN c_mktsegment < 'H' THEN 'track' END AS part FROM customer WHERE c_acctbal < 0)
+SELECT model, part, '' AS error FROM c JOIN nation ON n_nationkey = model WHERE part IS NOT NULL AND n_regionkey <> 2 UNION ALL SELECT n_nationkey, '', 'no base of ' || n_name FROM nation WHERE n_regionkey = 2""",
     "edge_keys": """WITH k AS (SELECT vec_id, [CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.01::DOUBLE + 0.5) AS BIGINT), CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.01::DOUBLE + 0.5) AS BIGINT)] AS a, [CAST(floor(CAST(embedding[3] AS DOUBLE) / 0.01::DOUBLE + 0.5) AS BIGINT), CAST(floor(CAST(embedding[4] AS DOUBLE) / 0.01::DOUBLE + 0.5) AS BIGINT)] AS b FROM embeddings WHERE embedding IS NOT NULL)
 SELECT vec_id, least(a, b)[1] || ',' || least(a, b)[2] || '|' || greatest(a, b)[1] || ',' || greatest(a, b)[2] AS edge FROM k""",
     "outline_rings": """WITH p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS i, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS x, l_linenumber // 3 AS y FROM lineitem WHERE l_quantity <> 7),

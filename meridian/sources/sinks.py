@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -11,13 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: How a partition folder names a null key.
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_documents(df: DataFrame, folder: str, key: str, force: bool = False, dry_run: bool = False) -> DataFrame:
     """Rows as JSON under one folder a key. Keys that are there stay unless ``force``; (written, skipped) rows return."""
     spark = df.sparkSession
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
-    known = spark.read.option("basePath", folder).json(folder).select(F.col(key).cast("string").alias("__key")).distinct() if there else spark.createDataFrame([], "__key string")
-    marked = df.withColumn("__key", F.col(key).cast("string")).join(known.withColumn("__old", F.lit(True)), "__key", "left")
+    names = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)] if there else []
+    keys = [(unquote(n.split("=", 1)[1]),) for n in names if n.startswith(f"{key}=")]  # folder names only, no document is read
+    known = spark.createDataFrame([(None if k == NO_KEY else k,) for (k,) in keys], "__key string")
+    marked = df.withColumn("__key", F.col(key).cast("string")).join(known.withColumnRenamed("__key", "__is").withColumn("__old", F.lit(True)), F.col("__key").eqNullSafe(F.col("__is")), "left").drop("__is")
     new = marked if force else marked.where("__old is null")
     counts = marked.agg(F.count_if(F.lit(force) | F.col("__old").isNull()).alias("written"), F.count_if(~F.lit(force) & F.col("__old").isNotNull()).alias("skipped"))
     counts = spark.createDataFrame(counts.collect(), counts.schema)
@@ -35,9 +42,9 @@ def sorted_array(df: DataFrame, *order: str) -> DataFrame:
     return df.orderBy(*order).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
 
 
-def file_name(name: Column, extension: str = ".3mf") -> Column:
+def file_name(name: Column, extension: str = ".3mf", nameless: str = "model") -> Column:
     base = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9._-]+", "-"), "-+", "-"), "^-+|-+$", "")
-    base = F.when(base == "", "racetrack").otherwise(base)
+    base = F.when(base == "", nameless).otherwise(base)
     return F.when(base.endswith(extension), base).otherwise(F.concat(base, F.lit(extension)))
 
 
