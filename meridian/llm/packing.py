@@ -4,10 +4,10 @@ Tokenised texts are cut into pieces of at most ``capacity`` tokens; only the his
 length) goes to the driver. The configuration program, least total weight of configurations (multisets of lengths that
 fit) that covers every length's count, is solved by multiplicative weights in whole uses: each round a knapsack program
 over capacities prices configurations under the lengths' weights, the priced one with each length is used to a step, and
-what is covered loses weight. Rounds go on until all but four pieces of each length are covered; these few, at most four
-times the lengths and however many rows there are, go best fit, longest first, into the rooms left and new sequences,
-alike ones as one. Pieces get ranks within their length (counted in salted parts, so one frequent length is spread) and
-take the slots of their rank.
+what is covered loses weight. Rounds go on until all pieces are covered, however many rows there are; how many rounds and
+configurations that takes depends on the lengths. Best fit on the histogram, alike sequences as one, is the yardstick: its
+plan is taken only where it saves over a thousandth of the sequences. Pieces get ranks within their length (counted in
+salted parts, so one frequent length is spread) and take the slots of their rank.
 
 Defined results: null text counts as empty and packs as its end token; equal rows are packed each; an empty table packs
 into nothing; a document longer than the capacity, and only such, is cut.
@@ -192,7 +192,7 @@ def configuration(first: int, lengths: list[int], choice: list[int], ends: list[
     return uses, space
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60, epsilon: float = 0.15, spare: int = 4, slack: float = 1 / 2048) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60, epsilon: float = 0.15, spare: int = 0, slack: float = 1 / 2048) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
     """Multiplicative weights for the covering program in whole uses: [(configuration, times)], and the counts left over.
 
     Rounds go on until the program is covered, all but ``spare`` pieces of each length. A round prices configurations
@@ -265,15 +265,16 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, plan: list[
 
 
 def plan_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """[(configuration, times)], and the number of bins: the program's solution, its rooms and new bins filled best fit.
+    """[(configuration, times)], and the number of bins: the program's solution, which places all pieces unless some are spared.
 
-    Best fit alone is taken where it needs fewer bins (a length that fills the table can leave the program's last ones poor).
+    Best fit alone is taken where it saves more than one bin in a thousand (a length that fills the table can leave the
+    program's last ones poor).
     """
     if not len(lengths):
         return [], 0
     plan, rest = solve_configurations(lengths, counts, capacity)
-    plans = best_fit(lengths, rest, capacity, plan), best_fit(lengths, counts, capacity, [])
-    return min(((plan, sum(t for _, t in plan)) for plan in plans), key=lambda p: p[1])
+    (plan, bins), (alone, least) = ((p, sum(t for _, t in p)) for p in (best_fit(lengths, rest, capacity, plan), best_fit(lengths, counts, capacity, [])))
+    return (plan, bins) if bins <= 1.001 * least else (alone, least)
 
 
 def slot_table(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[str, np.ndarray]:
