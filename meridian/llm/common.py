@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``scratch``, and how many rows it has, counted while they are written."""
+    seen = Observation()
+    out = scratch(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def bucketed(df: DataFrame, keys: list[str], name: str, last: Callable) -> DataFrame:
     """Write ``df``, dealt by ``keys``, as a bucketed scratch table, so that joins on them leave it where it is.
 
@@ -67,6 +74,20 @@ def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(F.broadcast(heavy), keys).unionByName(light)
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with sums over all rows before a row in a total order: sorted by ranges, summed within each, and the ranges' totals added.
+
+    No task holds more than a range; of the ranges only one row each is gathered.
+    """
+    dealt = cut(df.repartitionByRange(parts(df.sparkSession), *order).withColumn("range_", F.spark_partition_id()))
+    every = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range_").agg(*[F.sum(c).alias(f"all_{n}") for n, c in sums.items()])
+    ahead = totals.select("range_", *[F.coalesce(F.sum(f"all_{n}").over(every), F.lit(0)).alias(f"ahead_{n}") for n in sums])
+    inside = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.join(F.broadcast(ahead), "range_")  # one row a range
+    return rows.withColumns({n: F.col(f"ahead_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).drop("range_", *[f"ahead_{n}" for n in sums])
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that none of their names can meet an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

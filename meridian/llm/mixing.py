@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, repeated, row_key, whole_row
+from .common import cut, repeated, row_key, running_sums, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,17 +33,19 @@ def word_count(text: Column) -> Column:
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """(source, source_size, n) -> with ``target``: the water level over the sources, of which there is one row each."""
-    order = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
+    by_name = [F.col("source").isNull(), F.col("source")]
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    rows = sources.withColumn("weight", F.get(cycle, (order - 1) % len(weights)))
-    rows = rows.withColumn("most", cap * F.col("source_size")).withColumn("fills_at", F.col("most") / F.col("weight"))
-    every, before = Window.partitionBy(), Window.orderBy("fills_at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("budget", F.least(share * F.sum("source_size").over(every), F.sum("most").over(every)))
-    full, light = F.coalesce(F.sum("most").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", (F.col("budget") - full) / (F.sum("weight").over(every) - light))
+    rows = running_sums(sources, by_name, {"before": F.lit(1)})
+    rows = rows.withColumn("weight", F.get(cycle, (F.col("before") % len(weights)).cast("int"))).withColumn("most", cap * F.col("source_size")).withColumn("fills_at", F.col("most") / F.col("weight"))
+    rows = cut(running_sums(rows, [F.col("fills_at"), *by_name], {"full": F.col("most"), "light": F.col("weight")}))
+    total = rows.agg(F.least(share * F.sum("source_size"), F.sum("most")).alias("budget"), F.sum("weight").alias("weight")).first()
+    if total["budget"] is None:
+        return rows.withColumn("target", F.col("most")).drop("before", "weight", "most", "fills_at", "full", "light")
+    rows = rows.withColumn("level", (F.lit(total["budget"]) - F.col("full")) / (F.lit(total["weight"]) - F.col("light")))
     # the level is right at the first source that it does not fill, of sources filled alike the one with the highest
-    level = -F.min(F.when(F.col("level") <= F.col("fills_at"), F.struct("fills_at", (-F.col("level")).alias("below")))).over(every)["below"]
-    return rows.withColumn("target", F.least("most", F.coalesce(level * F.col("weight"), F.col("most")))).drop("weight", "most", "fills_at", "budget", "level")
+    level = rows.where("level <= fills_at").agg(F.min(F.struct("fills_at", (-F.col("level")).alias("below"))).alias("x")).first()["x"]
+    target = F.col("most") if level is None else F.least(F.col("most"), F.lit(-level["below"]) * F.col("weight"))
+    return rows.withColumn("target", target).drop("before", "weight", "most", "fills_at", "full", "light", "level")
 
 
 def _trade(state: Column, doc: Column) -> Column:
