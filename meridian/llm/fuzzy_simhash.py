@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, row_key, whole_row
+from .common import connected_components, cut, heavy_join, row_key, whole_row
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0xC75
@@ -137,13 +137,12 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     return a.join(b, (a.code == b.code) & near).select("src", "dst")
 
 
-def fingerprint_components(marks: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(doc_id, fp) rows -> (fp, root, component_id), one row per distinct fingerprint."""
-    distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("low")))
+def fingerprint_components(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(fp, low, ...), one row per distinct fingerprint -> and (root, component_id): the smallest fingerprint and ``low`` reachable."""
     roots = connected_components(linked_fingerprints(distinct, max_bits))
-    members = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    return members.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+    members = cut(distinct.join(roots, distinct.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp")))
+    lowest = cut(members.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("size")))
+    return heavy_join(members, lowest, ["root"], "size", members.count()).drop("size")
 
 
 def near_duplicate_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -152,8 +151,9 @@ def near_duplicate_components(df: DataFrame, *, id_col: str = "doc_id", text_col
     Equal fingerprints collapse before the join; links are sought among distinct ones only.
     """
     marks = cut(fingerprints(df, id_col=id_col, text_col=text_col, words=words))
-    named = fingerprint_components(marks, max_bits)
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    named = cut(fingerprint_components(distinct, max_bits).select("fp", "n", "component_id"))
+    return heavy_join(marks, named, ["fp"], "n", marks.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
@@ -161,9 +161,9 @@ def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     at = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.lit(1), text).alias("g"), F.xxhash64(F.lit(2), text).alias("h"))
     rows = df.select(at.alias("at"), F.col(text_col).alias("text"), row_key(df).alias("key"), whole_row(df).alias("row"))
-    marks = cut(fingerprints(rows, id_col="at", text_col="text", words=words).withColumnRenamed("doc_id", "at"))
-    named = fingerprint_components(marks.select(F.col("at.i").alias("doc_id"), "fp"), max_bits).select("fp", "root")
-    winners = marks.join(named, "fp").groupBy("root").agg(F.min("at").alias("at")).select("at")
+    marks = fingerprints(rows, id_col="at", text_col="text", words=words).withColumnRenamed("doc_id", "at")
+    distinct = cut(marks.groupBy("fp").agg(F.min("at").alias("low")))  # of equal fingerprints only the first can stay
+    winners = fingerprint_components(distinct, max_bits).select(F.col("component_id").alias("at")).distinct()
     kept = rows.select("at", "key", "row").join(winners, "at", "left_semi")
     nth = F.row_number().over(Window.partitionBy("at").orderBy("key"))
     return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
