@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, heavy_join, scratch
+from .common import bucketed, counted, heavy_join, scratch
 
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 STEP = 1 << 19
@@ -324,8 +324,8 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64, most: int = 4_000) -> DataFrame:
-    """(tk, tl, spans) for the distinct ``texts`` (tk, tl, text): anchors with what is repeated around them."""
+def anchors_of(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64) -> DataFrame:
+    """(gram, ctx, tk, tl, pos, last): the anchors of (tk, tl, text), a run of equal ones as one row."""
     short, far = min(r.length for r in rules), max(r.length for r in rules)
     spread = short - gram
 
@@ -343,13 +343,19 @@ def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 6
             columns = [grams[first].view(np.int64), contexts[first].view(np.int64), *(b.column(i).to_numpy(zero_copy_only=False)[key] for i in (0, 1)), (at[first] - starts[key]).astype(np.int32), (at[last] - starts[key]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "ctx", "tk", "tl", "pos", "last"])
 
-    anchors = scratch(texts.mapInArrow(anchored, "gram long, ctx long, tk long, tl long, pos int, last int"), "anchors")
+    return scratch(texts.mapInArrow(anchored, "gram long, ctx long, tk long, tl long, pos int, last int").sortWithinPartitions("gram"), "anchors")
+
+
+def repeated_windows(texts: DataFrame, anchors: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64, most: int = 4_000) -> DataFrame:
+    """(tk, tl, spans) for distinct ``texts`` (tk, tl, text) and their anchors: those with what is repeated around them."""
+    short, far = min(r.length for r in rules), max(r.length for r in rules)
+    spread = short - gram
     times = F.sum(F.when(F.col("last") > F.col("pos"), 2).otherwise(1))
     grams = scratch(anchors.groupBy("gram").agg(times.alias("n")).where("n > 1"), "grams")
-    again = scratch(heavy_join(anchors, grams, ["gram"], "n", anchors.count()).drop("n"), "repeated")
-    contexts = scratch(again.groupBy("gram", "ctx").agg(times.alias("n"), F.count("*").alias("rows"), F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min(F.struct(*KEY, "pos")).alias("rep")).select("gram", "ctx", "n", "rows", "t0", "t1", "rep.*"), "contexts")
+    again, n_again = counted(heavy_join(anchors, grams, ["gram"], "n", anchors.count()).drop("n"), "repeated")
+    contexts, n_contexts = counted(again.groupBy("gram", "ctx").agg(times.alias("n"), F.count("*").alias("rows"), F.min("tk").alias("t0"), F.max("tk").alias("t1"), F.min(F.struct(*KEY, "pos")).alias("rep")).select("gram", "ctx", "n", "rows", "t0", "t1", "rep.*"), "contexts")
     several = scratch(contexts.groupBy("gram").agg(F.count("*").alias("several")).where("several > 1"), "several")
-    apart = scratch(heavy_join(contexts, several, ["gram"], "several", contexts.count()), "apart")
+    apart = heavy_join(contexts, several, ["gram"], "several", n_contexts)
 
     # one slice for each context that must be compared
     wanted = apart.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "ctx", "pos", "t0", "t1", (F.col("several") > most).alias("hot"))).alias("wanted"))
@@ -394,7 +400,7 @@ def repeated_windows(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 6
     found = found.groupBy("gram", "ctx").agg(F.collect_set(F.struct("rule", "lo", "hi")).alias("found"))
     settled = contexts.select("gram", "ctx", "rows", (F.col("n") > 1).alias("twice"), (F.col("t0") < F.col("t1")).alias("across")).join(found, ["gram", "ctx"], "left").where("twice or found is not null")
     settled = scratch(settled, "settled")
-    return heavy_join(again, settled, ["gram", "ctx"], "rows", again.count()).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "last", "twice", "across", "found")).alias("spans"))
+    return heavy_join(again, settled, ["gram", "ctx"], "rows", n_again).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "last", "twice", "across", "found")).alias("spans"))
 
 
 def _counted(slices: DataFrame, rules: tuple[Rule, ...], spread: int, n: int) -> DataFrame:
@@ -429,13 +435,52 @@ def _counted(slices: DataFrame, rules: tuple[Rule, ...], spread: int, n: int) ->
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(row), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["gram", "ctx", "t0", "t1", "rule", "x", "h"])
 
     each = slices.join(able, ["gram", "ctx"]).select("gram", "ctx", "t0", "t1", "hot", "lhs", "body", "able")
-    each = scratch(each.mapInArrow(windows, "gram long, ctx long, t0 long, t1 long, rule int, x int, h long"), "windows")
+    each, n_each = counted(each.mapInArrow(windows, "gram long, ctx long, t0 long, t1 long, rule int, x int, h long"), "windows")
     key = ["gram", "rule", "x", "h"]
     across = F.element_at(F.array(*[F.lit(r.across) for r in rules]), F.col("rule") + 1)
     again = each.groupBy(*key).agg(F.count("*").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1")).where(F.when(across, F.col("t0") < F.col("t1")).otherwise(F.col("n") > 1))
     again = scratch(again.select(*key, "n"), "equal")
     size = F.element_at(F.array(*[F.lit(r.length) for r in rules]), F.col("rule") + 1)
-    return heavy_join(each.select(*key, "ctx"), again, key, "n", each.count()).select("gram", "ctx", "rule", (-F.col("x")).alias("lo"), (size - F.col("x")).cast("int").alias("hi"))
+    return heavy_join(each.select(*key, "ctx"), again, key, "n", n_each).select("gram", "ctx", "rule", (-F.col("x")).alias("lo"), (size - F.col("x")).cast("int").alias("hi"))
+
+
+class RepeatIndex:
+    """Levels of texts and sorted anchors in the shared folder, for corpora that grow batch by batch.
+
+    ``add`` takes a batch (tk, tl, text), gives it its sorted anchors, scans them against every level's for windows that
+    both hold, and makes it a level; a level of less than twice the next one's size is merged with it, so there are as many
+    levels as the logarithm of the batches, and a text is rewritten as often.
+    """
+
+    def __init__(self, *rules: Rule, gram: int = 64, most: int = 4_000):
+        self.rules, self.gram, self.most = rules or (Rule(),), gram, most
+        self.levels: list[tuple[int, DataFrame, DataFrame]] = []  # texts, their number, anchors
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """(tk, tl, spans) of all texts, old and new, that share a window with the batch (null-free keys; texts the index has are not new)."""
+        for _, texts, _ in self.levels:
+            batch = batch.join(texts.select(*KEY), KEY, "left_anti")
+        texts = bucketed(batch.select(*KEY, "text").mapInArrow(_distinct, "tk long, tl long, text binary"), KEY, "level", _distinct)
+        anchors = anchors_of(texts, self.rules, gram=self.gram)
+        grams = anchors.select("gram").distinct()
+        every, near = texts, anchors
+        for _, old, sorted_ in self.levels:
+            every, near = every.unionByName(old), near.unionByName(sorted_.join(grams, "gram", "left_semi"))
+        found = repeated_windows(every, near, self.rules, gram=self.gram, most=self.most)
+        self.levels.append((texts.count(), texts, anchors))
+        while len(self.levels) > 1 and self.levels[-2][0] < 2 * self.levels[-1][0]:
+            (m, a, x), (n, b, y) = self.levels[-2:]
+            merged = bucketed(a.unionByName(b), KEY, "level", _distinct)
+            self.levels[-2:] = [(m + n, merged, scratch(x.unionByName(y).repartition("gram").sortWithinPartitions("gram"), "anchors"))]
+        return found
+
+
+def keyed(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the SHA-256 of a text and its first 120 bits as two longs, ``tk`` and ``tl``."""
+    df = df.withColumn("sha", F.sha2(text, 256))
+    for n, name in enumerate(KEY):
+        df = df.withColumn(name, F.conv(F.substring("sha", 1 + 15 * n, 15), 16, 10).cast("long"))
+    return df
 
 
 def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col: str = "text", gram: int = 64, most: int = 4_000, kept: int | None = None, carry: Column | None = None) -> DataFrame:
@@ -448,15 +493,13 @@ def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col
     short = min(r.length for r in rules)
     least = short if kept is None else max(short, rules[kept].length)
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([] if carry is None else [carry.alias("carry")])).withColumn("sha", F.sha2("text", 256))
-    for n, name in enumerate(KEY):
-        docs = docs.withColumn(name, F.conv(F.substring("sha", 1 + 15 * n, 15), 16, 10).cast("long"))
+    docs = keyed(df.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([] if carry is None else [carry.alias("carry")])), F.col("text"))
     size = F.octet_length("text").cast("long")
     small = [] if kept is None else [F.when(size < least, F.col("text")).alias("small")]
-    rows = scratch(docs.select("doc_id", *KEY, "sha", size.alias("n_bytes"), *small, *([] if carry is None else ["carry"])), "rows")
+    rows, n_rows = counted(docs.select("doc_id", *KEY, "sha", size.alias("n_bytes"), *small, *([] if carry is None else ["carry"])), "rows")
     long = docs.where(size >= short).select(*KEY, "text")
     texts = bucketed(long.mapInArrow(_distinct, "tk long, tl long, text binary"), KEY, "texts", _distinct)
-    spans = repeated_windows(texts, rules, gram=gram, most=most)
+    spans = repeated_windows(texts, anchors_of(texts, rules, gram=gram), rules, gram=gram, most=most)
     spread = short - gram
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,7 +543,7 @@ def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col
     else:  # texts lie where they are; only what is left of those that were cut moves
         done = texts.join(done, KEY, "left").select(*KEY, "removed", "spans", "kept_sha", F.coalesce("kept", "text").alias("kept"))
     # rows of texts that many rows hold need no text: they go whole or are small
-    many = F.broadcast(copies.where(F.col("copies") * 1000 > rows.count()))
+    many = F.broadcast(copies.where(F.col("copies") * 1000 > n_rows))
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("removed", "long"), ("spans", "long"), ("kept_sha", "string"), *([("kept", "binary")] if kept is not None else []))]
     hot = rows.join(many, KEY).select("*", *nothing)
     rest = rows.join(many.select(*KEY), KEY, "left_anti").join(copies, KEY, "left").join(done, KEY, "left")
