@@ -418,6 +418,14 @@ def test_pipeline_stages(spark):
     assert packed.where("offset = 0").count() == packed.select("sequence_id").distinct().count()
 
 
+def test_language_stage_rejects_what_it_cannot_tell(spark):
+    rows = [(n, f"{t} {n}", lang) for lang, t, at in (("en", "the cat and the dog went out", 0), ("de", "der Hund und die Katze gingen", 100)) for n in range(at, at + 60)]
+    rows += [(900, "ж", None), (901, "the dog went out and the cat", None), (902, "12", None), (903, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {900, 902, 903}
+
+
 def test_language_stage_without_labels(spark):
     rows = [(1, "one word", None), (2, "123 !!", None), (3, None, None), (4, "", None), (5, "日本", None), (1, "one word", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
