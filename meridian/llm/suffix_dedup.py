@@ -346,7 +346,7 @@ def anchors_of(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64) ->
     return scratch(texts.mapInArrow(anchored, "gram long, ctx long, tk long, tl long, pos int, last int").sortWithinPartitions("gram"), "anchors")
 
 
-def repeated_windows(texts: DataFrame, anchors: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64, most: int = 4_000) -> DataFrame:
+def repeated_windows(texts: DataFrame, anchors: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64, most: int = 20_000) -> DataFrame:
     """(tk, tl, spans) for distinct ``texts`` (tk, tl, text) and their anchors: those with what is repeated around them."""
     short, far = min(r.length for r in rules), max(r.length for r in rules)
     spread = short - gram
@@ -441,7 +441,8 @@ def _counted(slices: DataFrame, rules: tuple[Rule, ...], spread: int, n: int) ->
     again = each.groupBy(*key).agg(F.count("*").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1")).where(F.when(across, F.col("t0") < F.col("t1")).otherwise(F.col("n") > 1))
     again = scratch(again.select(*key, "n"), "equal")
     size = F.element_at(F.array(*[F.lit(r.length) for r in rules]), F.col("rule") + 1)
-    return heavy_join(each.select(*key, "ctx"), again, key, "n", n_each).select("gram", "ctx", "rule", (-F.col("x")).alias("lo"), (size - F.col("x")).cast("int").alias("hi"))
+    open_ = each.where("t0 = t1").select(*key, "ctx")  # contexts of two texts are settled whole
+    return heavy_join(open_, again, key, "n", n_each).select("gram", "ctx", "rule", (-F.col("x")).alias("lo"), (size - F.col("x")).cast("int").alias("hi"))
 
 
 class RepeatIndex:
@@ -452,7 +453,7 @@ class RepeatIndex:
     levels as the logarithm of the batches, and a text is rewritten as often.
     """
 
-    def __init__(self, *rules: Rule, gram: int = 64, most: int = 4_000):
+    def __init__(self, *rules: Rule, gram: int = 64, most: int = 20_000):
         self.rules, self.gram, self.most = rules or (Rule(),), gram, most
         self.levels: list[tuple[int, DataFrame, DataFrame]] = []  # texts, their number, anchors
 
@@ -483,7 +484,7 @@ def keyed(df: DataFrame, text: Column) -> DataFrame:
     return df
 
 
-def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col: str = "text", gram: int = 64, most: int = 4_000, kept: int | None = None, carry: Column | None = None) -> DataFrame:
+def repeated_bytes(df: DataFrame, *rules: Rule, id_col: str = "doc_id", text_col: str = "text", gram: int = 64, most: int = 20_000, kept: int | None = None, carry: Column | None = None) -> DataFrame:
     """One row per row: doc_id, n_bytes, and by the first rule n_removed, n_spans, kept_sha256.
 
     ``kept``: the number of the rule whose remaining text is a column as well (bytes of a character cut in two go);
