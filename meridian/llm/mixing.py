@@ -4,8 +4,9 @@ A source's target is the least of its cap and its share of the budget; the exces
 one water level L with sum(min(L * weight, cap)) = budget, read off a running sum over sources ordered by cap / weight.
 A document is taken floor(e) times for sure, e = target / source size, and once more with probability e - floor(e).
 The pivotal method settles that: two open documents trade words (probability times size), in a random direction chosen
-so that each keeps its expectation, until one of them is settled; the other goes on. A leaf of the reduction tree settles
-all but one of its documents, the open ones meet in the next level's nodes, and the root's last one is drawn. Every trade
+so that each keeps its expectation, until one of them is settled; the other goes on. In a leaf of the reduction tree each
+document, longest first, trades with all that follow as one, which settles all but one, mostly the shortest; the open
+ones meet in pairs in the next level's nodes, and the root's last one is drawn. Every trade
 keeps the number of words, so a source misses its target by less than its last open document, which may be a long one.
 
 Randomness is a hash of the ids, so reruns agree, whatever the partitioning. A source's leaves are dealt by hash and hold
@@ -77,6 +78,36 @@ def _reduce(items: Column) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.size(items)), first.cast(kind), lambda s, x: _trade(s, x.cast(OPEN)).cast(kind))
 
 
+def _reduce_leaf(items: Column) -> Column:
+    """All but one of a leaf's open documents settled, which have one probability: struct(open, done).
+
+    Each, longest first, trades with all that follow as one: they give or take in proportion, so their probability stays
+    one number. The document is settled, or, where they have too little to settle it, they are and it stays open.
+    """
+    kind = f"struct<p:double,rest:double,open:{OPEN},done:{DONE}>"
+    words = F.aggregate(items, F.lit(0.0), lambda t, x: t + x["size"])
+    first = F.struct(items[0]["p"].alias("p"), words.alias("rest"), F.expr(f"cast(null as {OPEN})").alias("open"), F.expr(f"cast(array() as {DONE})").alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        p, size, rest = s["p"], x["size"], s["rest"] - x["size"]
+        need, hold = (1 - p) * size, p * size  # words from a settled 1, from a settled 0
+        give, take = F.least(need, p * rest), F.least(hold, (1 - p) * rest)
+        coin = F.pmod(F.xxhash64(x["key"], F.lit("leaf trade")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        up = coin * (give + take) < take
+        last, over = rest <= 0, s["open"].isNotNull()
+        settled = ~last & F.when(up, need <= p * rest).otherwise(hold <= (1 - p) * rest)
+        near = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+        own = F.when(last, p).when(up, p + give / size).otherwise(p - take / size)
+        pool = F.when(last, p).when(settled, near(F.when(up, p - need / rest).otherwise(p + hold / rest))).otherwise(F.when(up, 0.0).otherwise(1.0))
+        extra = F.when(over, F.when(p >= 0.5, 1).otherwise(0)).otherwise(up.cast("int"))
+        closed = F.array_append(s["done"], F.struct(x["key"].alias("key"), extra.alias("extra")).cast("struct<key:struct<h:bigint,n:bigint>,extra:int>"))
+        opened = F.struct(x["key"].alias("key"), size.alias("size"), near(own).alias("p")).cast(OPEN)
+        shut = over | settled
+        return F.struct(F.when(over, p).otherwise(pool).alias("p"), rest.alias("rest"), F.when(shut, s["open"]).otherwise(opened).alias("open"), F.when(shut, closed).otherwise(s["done"]).alias("done")).cast(kind)
+
+    return F.aggregate(items, first.cast(kind), step, lambda s: F.struct(s["open"].alias("open"), s["done"].alias("done")))
+
+
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, fan: int = 64, carry: Column | None = None) -> DataFrame:
     """One row per row: doc_id, size, source_size, target, taken, copies (and ``carry``, a small column to keep)."""
     docs = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.lit(None).cast("long") if carry is None else carry).alias("carry")))
@@ -95,7 +126,7 @@ def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source
     leaves = rows.groupBy(*same).agg(F.array_sort(F.collect_list(item)).alias("docs"))
     numbered = F.transform("docs", lambda d, i: F.struct(F.struct(d["h"].alias("h"), i.cast("long").alias("n")).alias("key"), d["size"].cast("double").alias("size"), d["p"].alias("p")))
     live = F.filter(numbered, lambda d: d["p"].isNotNull())
-    leaves = leaves.withColumn("live", live).withColumn("out", F.when(F.size("live") > 0, _reduce(F.col("live")))).drop("live")
+    leaves = leaves.withColumn("live", live).withColumn("out", F.when(F.size("live") > 0, _reduce_leaf(F.col("live")))).drop("live")
     leaves = cut(leaves)
 
     # residuals climb the tree; a leaf's open document keeps the leaf's number as its key
