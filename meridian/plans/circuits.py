@@ -25,7 +25,9 @@ def _nodes(points: list[tuple[Column, Column]]) -> Column:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name"), _ways((F.col("p_partkey") % 100 + 100) / 10000)
+    """Parts, dealt over the cores: Python follows, and a small file is one task."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name").repartition(3 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return p, _ways((F.col("p_partkey") % 100 + 100) / 10000)
 
 
 def venue_routes(spark: SparkSession, sf_dir: str) -> DataFrame:

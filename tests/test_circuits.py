@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from meridian.operators import circuit_loops, circuits, routes
 from meridian.operators.routes import Way
 
@@ -119,3 +121,16 @@ def test_loops(spark):
         raise AssertionError
     except ValueError as error:
         assert "toNode" in str(error)
+
+
+def test_equal_venues_are_laid_out_once(monkeypatch):
+    made, real = [], circuits.venue_layouts
+    monkeypatch.setattr(circuits, "venue_layouts", lambda *a: made.append(a) or real(*a))
+    circuits._kept.clear(), circuits._places.clear()
+    rows = [elements([*square(), Way(3, [B, O, C], {"name": "Moto"})]), [], elements([*square(), Way(3, [B, O, C], {"name": "Moto"})])]
+    ask = lambda *d: circuits.layout_results(list(d), pa.array(["X"] * len(d)), pa.array([None] * len(d)), pa.array([rows["a-c".index(x[0])] for x in d])).to_pylist()
+    one = ask("a", "-", "c", "a")
+    assert len(made) == 3 and one[0] == one[2] == one[3] and one[1]["error"] == "no ways" and one[0]["layouts"]
+    assert ask("c", "-") == [one[2], one[1]] and len(made) == 3
+    monkeypatch.setattr(circuits, "KEPT_BYTES", 0)
+    assert ask("a", "a") == [one[0]] * 2 and len(made) == 4
