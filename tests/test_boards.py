@@ -1,8 +1,10 @@
 """Boards, crossings, contours, layouts and reports on small rows."""
 
 import itertools
+import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meridian.functions import text
@@ -129,3 +131,45 @@ def test_forks_and_rings(spark):
     assert forks.fork_sections(df, F.lit(False)).count() == 0
     assert {r.track: (r.eids, r.length) for r in forks.rings(df).collect()} == {2: ([0, 1, 2], 6.0), 4: ([0, 1], 3.0)}
     assert forks.branches(df.limit(0)).count() == forks.rings(df.limit(0)).count() == 0
+
+
+def walks(rows):
+    """Branches (track, fork, merge, eids, length, on_backbone, ends, near) by one walk each."""
+    out = []
+    for track in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == track]
+        at = {}
+        for _, eid, a, b, metres, main in own:
+            for v, w in ((a, b), (b, a)):
+                at.setdefault(v, []).append((eid, w, metres, main))
+        near = {v for r in own if r[5] for v in r[2:4]}
+        for fork in (v for v in at if v is not None and len(at[v]) >= 3):
+            for eid, v, metres, main in at[fork]:
+                eids, total, backbone = [eid], metres, main
+                while v is not None and len(at[v]) == 2 and (more := [x for x in at[v] if x[0] != eids[-1]]):
+                    eid, v, metres, main = more[0]
+                    eids, total, backbone = [*eids, eid], None if None in (total, metres) else total + metres, backbone or main
+                if v not in (None, fork) and len(at[v]) != 2:
+                    out.append((track, fork, v, eids, total, backbone, len(at[v]), fork in near and v in near))
+    return sorted(out, key=str)
+
+
+def test_branches_are_those_of_walks(monkeypatch):
+    # Tracks go over batches; some edges have no end, no length, the number of another, or both ends alike.
+    monkeypatch.setattr(forks, "AT_ONCE", 20)
+    for seed in range(20):
+        r = random.Random(seed)
+        rows = [(t, t * 100 + (r.randrange(9) if seed % 4 == 2 else i), r.randrange(n) if r.random() > 0.02 else None, r.randrange(n), None if r.random() < 0.03 else i + 0.1, r.random() < 0.4) for t in range(12) for n in [r.choice([5, 9, 14])] for i in range(r.choice([3, 9, 12, 45]))]
+        t = pa.table(dict(zip(("track", "eid", "a", "b", "length", "main"), zip(*rows))), schema=pa.schema([("track", pa.int32()), ("eid", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("length", pa.float64()), ("main", pa.bool_())]))
+        got = [tuple(x.values()) for b in forks._walk(iter(t.to_batches(max_chunksize=7))) for x in b.to_pylist()]
+        assert sorted(got, key=str) == walks(rows)
+
+
+def test_long_tracks_branch_alike(spark):
+    r = random.Random(1)
+    rows = [(t, t * 100 + i, r.randrange(9), r.randrange(9), i + 0.1, i % 2 == 0) for t in range(4) for i in range(8 + t)]
+    df = spark.createDataFrame(rows, "track int, eid long, a long, b long, length double, main boolean").where("a <> b")
+    want = walks([r for r in rows if r[2] != r[3]])
+    for most in (0, 9, 99):
+        found = forks._branches(df, most).select("track", "fork", "merge", "eids", "length", "on_backbone", "ends", "near").collect()
+        assert sorted(map(tuple, found), key=str) == want
