@@ -160,26 +160,19 @@ def _long_branches(edges: DataFrame) -> DataFrame:
     return ways.select("track", "fork", "merge", "eids", "length", "on_backbone", "ends", both.alias("near"))
 
 
-def fork_sections(edges: DataFrame, backbone: Column | None = None) -> DataFrame:
+def fork_sections(edges: DataFrame, backbone: Column | None = None, most: int = MOST_EDGES) -> DataFrame:
     """(track, fork, merge, branches, total): two branches or more between two junctions, ``fork`` being the smaller one.
 
     ``branches``: structs (on_backbone, length, eids), those on the backbone first, then the longest. With a ``backbone``
     (a test on edges) both junctions must lie on it, and one branch. An edge is in one branch and a branch between one
     pair of junctions, so sections never share an edge.
     """
-    marked = edges.withColumn("main", F.lit(False) if backbone is None else F.coalesce(backbone, F.lit(False)))
-    ways = branches(edges)
-    ends = arcs(edges).groupBy("track", F.col("at").alias("merge")).agg(F.count("*").alias("n")).where("n >= 3").drop("n")
-    ways = ways.where("fork < merge").join(ends, ["track", "merge"])
-    on = marked.where("main").groupBy("track").agg(F.collect_set("eid").alias("own"))
-    near = marked.where("main").select("track", F.explode(F.array("a", "b")).alias("v")).distinct()
-    ways = ways.join(on, "track", "left").withColumn("on_backbone", F.coalesce(F.arrays_overlap("eids", "own"), F.lit(False)))
+    marked = edges.withColumn("main", F.lit(False) if backbone is None else backbone)
+    ways = _branches(marked, most).where("fork < merge and ends >= 3" + (" and near" if backbone is not None else ""))
     one = F.struct("on_backbone", "length", "eids")
     rank = lambda x, y: F.when(x["on_backbone"] != y["on_backbone"], F.when(x["on_backbone"], -1).otherwise(1)).when(x["length"] > y["length"], -1).when(x["length"] < y["length"], 1).when(x["eids"] < y["eids"], -1).otherwise(1)
     found = ways.groupBy("track", "fork", "merge").agg(F.array_sort(F.collect_list(one), rank).alias("branches"), F.sum("length").alias("total"), F.max("on_backbone").alias("any_main")).where(F.size("branches") >= 2)
     if backbone is not None:
-        for end in ("fork", "merge"):
-            found = found.join(near.withColumnRenamed("v", end), ["track", end], "left_semi")
         found = found.where("any_main")
     return found.select("track", "fork", "merge", "branches", "total")
 

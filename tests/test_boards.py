@@ -173,3 +173,11 @@ def test_long_tracks_branch_alike(spark):
     for most in (0, 9, 99):
         found = forks._branches(df, most).select("track", "fork", "merge", "eids", "length", "on_backbone", "ends", "near").collect()
         assert sorted(map(tuple, found), key=str) == want
+
+
+def test_sections_come_with_their_branches(spark):
+    # The backbone and the ends come with each branch; tracks over ``most`` edges, by joins, have the same sections.
+    ways = [(t, t * 10 + i, a, b, float(i + 1)) for t in (1, 2) for i, (a, b) in enumerate([(0, 1), (1, 2), (2, 0), (0, 3), (3, 2), (3, 4)][: 4 + t])]
+    df = spark.createDataFrame(ways, "track int, eid long, a long, b long, length double")
+    got = {most: sorted((r.track, r.fork, r.merge, [(b.on_backbone, b.eids) for b in r.branches], r.total) for r in forks.fork_sections(df, F.col("eid") % 10 == 2, most).collect()) for most in (5, 99)}
+    assert got[5] == got[99] == [(1, 0, 2, [(True, [12]), (False, [13, 14]), (False, [10, 11])], 15.0), (2, 0, 2, [(True, [22]), (False, [20, 21])], 6.0)]
