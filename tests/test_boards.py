@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -181,3 +182,33 @@ def test_sections_come_with_their_branches(spark):
     df = spark.createDataFrame(ways, "track int, eid long, a long, b long, length double")
     got = {most: sorted((r.track, r.fork, r.merge, [(b.on_backbone, b.eids) for b in r.branches], r.total) for r in forks.fork_sections(df, F.col("eid") % 10 == 2, most).collect()) for most in (5, 99)}
     assert got[5] == got[99] == [(1, 0, 2, [(True, [12]), (False, [13, 14]), (False, [10, 11])], 15.0), (2, 0, 2, [(True, [22]), (False, [20, 21])], 6.0)]
+
+
+def test_masks_of_many_plates_are_those_of_joins(spark):
+    # Sloped rings, two outlines, overlapping holes, margins, a plate without rings, two batches of plates.
+    r = random.Random(3)
+    dims = plates.dimensions(spark.createDataFrame([(k, -30.0, -20.0, w, h) for k, w, h in ((1, 60.0, 40.0), (2, 90.0, 84.0), (3, 17.0, 31.0), (4, 20.0, 20.0))], "plate int, x0 double, y0 double, width double, height double"))
+    shape = lambda n: [(r.uniform(-40, 70), r.uniform(-30, 70)) for _ in range(n)]
+    rows = [(k, o, i, shape(n)) for k in (1, 2, 3) for o, i, n in ((0, 0, 5), (0, 1, 4), (0, 2, 4), (1, 0, 3), (1, 1, 3), (1, 1, 4), (2, 0, 2))]
+    rings = spark.createDataFrame(rows, "plate int, outline int, ring int, points array<struct<x: double, y: double>>")
+    got = plates.text_mask(rings, rings.where("ring = 0 and outline < 2"), dims).collect()
+    inside = plates.grid.fill_interior(plates.in_cells(plates.sides(rings.where("ring = 0 and outline < 2").select("plate", "points")), dims), dims.select("plate", "rows", "cols"), 1.0)
+    drawn = {tuple(x) for x in plates.outline_cells(rings, dims).select("plate", "r", "c").distinct().collect()}
+    inner, size = {tuple(x) for x in inside.select("plate", "r", "c").collect()}, {d.plate: d for d in dims.collect()}
+    assert len(got) == sum(d.rows * d.cols for d in size.values()) and drawn and inner and size[2].margin == 1
+    for x in got:
+        d, m = size[x.plate], size[x.plate].margin
+        near = any((x.plate, x.r + i, x.c + j) in drawn for i in range(-m, m + 1) for j in range(-m, m + 1))
+        rim = x.r in (0, d.rows - 1) or x.c in (0, d.cols - 1)
+        assert (x.obstacle, x.blocked, x.outside) == ((x.plate, x.r, x.c) in drawn, near or rim, (x.plate, x.r, x.c) not in inner)
+
+
+def test_boards_of_one_number_are_drawn_apart(spark, tmp_path):
+    from meridian.plans import boards
+
+    spark.createDataFrame([(5, 1), (5, 30), (5, 30), (6, 2)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = sorted(map(tuple, boards.board_outlines(spark, str(tmp_path)).collect()), key=str)
+    # Number 5: 13 x 19 and twice 42 x 19 millimetres.
+    assert got == sorted(db.sql(boards.ORACLES["board_outlines"]).fetchall(), key=str) and got[0][:2] == (5, 9 * 8 + 2 * 21 * 10)
