@@ -324,6 +324,24 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def around(batches: Iterator[pa.RecordBatch], spread: int, far: int) -> Iterator[pa.RecordBatch]:
+    """(tk, tl, text, wanted) -> a row for each context wanted, with the slice around its anchor; 1024 rows are held at once."""
+    for b in pages(batches, 2):
+        data, starts, ends = _buffer(b.column(2))
+        every = pa.RecordBatch.from_struct_array(b.column(3).flatten())
+        doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False))
+        for n in range(0, len(doc), 1024):
+            w, d = every.slice(n, 1024), doc[n : n + 1024]
+            at = w.column("pos").to_numpy().astype(np.int64)
+            left = np.minimum(at, spread)
+            begin = starts[d] + at - left
+            size = np.minimum(starts[d] + at + far, ends[d]) - begin
+            offsets = np.append(0, np.cumsum(size))
+            bytes_ = data[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
+            body = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(bytes_)])
+            yield pa.RecordBatch.from_arrays([*(w.column(c) for c in ("gram", "ctx", "t0", "t1", "hot")), pa.array(left.astype(np.int32)), body], names=["gram", "ctx", "t0", "t1", "hot", "lhs", "body"])
+
+
 def anchors_of(texts: DataFrame, rules: tuple[Rule, ...], *, gram: int = 64) -> DataFrame:
     """(gram, ctx, tk, tl, pos, last): the anchors of (tk, tl, text), a run of equal ones as one row."""
     short, far = min(r.length for r in rules), max(r.length for r in rules)
@@ -360,24 +378,12 @@ def repeated_windows(texts: DataFrame, anchors: DataFrame, rules: tuple[Rule, ..
     # one slice for each context that must be compared
     wanted = apart.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "ctx", "pos", "t0", "t1", (F.col("several") > most).alias("hot"))).alias("wanted"))
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["gram", "ctx", "t0", "t1", "hot", "lhs", "body"], [*[pa.int64()] * 4, pa.bool_(), pa.int32(), pa.binary()]
-        for b in pages(batches, 2):
-            out: list[tuple] = []
-            for text, want in zip(b.column(2), b.column(3)):
-                raw = text.as_py()
-                for w in want.as_py():
-                    low = max(0, w["pos"] - spread)
-                    out.append((w["gram"], w["ctx"], w["t0"], w["t1"], w["hot"], w["pos"] - low, raw[low : w["pos"] + far]))
-                    if len(out) == 1024:
-                        yield _batch(out, names, types)
-                        out = []
-            yield _batch(out, names, types)
-
-    slices = scratch(texts.join(wanted, KEY).select(*KEY, "text", "wanted").mapInArrow(sliced, "gram long, ctx long, t0 long, t1 long, hot boolean, lhs int, body binary"), "slices")
+    slices = texts.join(wanted, KEY).select(*KEY, "text", "wanted").mapInArrow(lambda batches: around(batches, spread, far), "gram long, ctx long, t0 long, t1 long, hot boolean, lhs int, body binary")
+    n_apart, n_hot = several.agg(F.coalesce(F.sum("several"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("several") > most, F.col("several"))), F.lit(0))).first()
+    if n_hot:  # read several times; otherwise slices go to their tasks as they are cut
+        slices = scratch(slices, "slices")
     cold = slices.where("not hot")
-    n_cold, n_hot = (slices.groupBy().agg(F.count(F.when(~F.col("hot"), 1)), F.count(F.when(F.col("hot"), 1)))).first()
-    shards = max(1, -(-n_cold // most)) * 4
+    shards = max(1, -(-(n_apart - n_hot) // most)) * 4
 
     def compared(table: pa.Table) -> pa.Table:
         family, keys = SuffixArrayFamily(rules, spread), []

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -15,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meridian.llm import additive_ann, fuzzy_simhash, html_text, language_id, mixing, nra_topk, packing, suffix_dedup, token_counts, url_filter
+from meridian.llm import additive_ann, common, fuzzy_simhash, html_text, language_id, mixing, nra_topk, packing, suffix_dedup, token_counts, url_filter
 
 P = pytest.importorskip("public_tokenizers")
 ODD = "doc_id long, text string, source string, lang string, fp long, n long"
@@ -146,6 +148,44 @@ def test_suffix_dedup_by_two_rules(spark):
         assert {r.carry.tk: (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept) for r in got} == want
 
 
+def test_slices_are_written_for_frequent_grams_only(spark):
+    """Slices that are read once go to their tasks as they are cut; the results are held against brute force above."""
+    root = common.shared_dir(spark).removeprefix("file://")
+    texts = ["".join(random.Random(n % 5).choices("abc ", k=150)) + str(n) + "".join(random.Random(9).choices("xyz ", k=120)) for n in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = lambda: {x for x in os.listdir(root) if x.startswith("slices-")}
+    rows = []
+    for most, grows in ((20_000, False), (1, True)):
+        before = written()
+        rows.append(sorted(map(tuple, suffix_dedup.repeated_bytes(df, suffix_dedup.Rule(80), gram=16, most=most).collect())))
+        assert bool(written() - before) == grows
+    assert rows[0] == rows[1] and any(r[2] for r in rows[0])
+
+
+def test_slices_of_a_long_text_are_cut_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    long = rng.integers(0, 256, 6_000_000, dtype=np.uint8).tobytes()
+    texts = [b"head", b"", b"some bytes here", long, "\u00e9t\u00e9".encode() * 9]
+    at = [[0, 3], [], [7], list(range(0, len(long), 60)), [0, 5, 44]]
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("ctx", pa.int64()), ("pos", pa.int32()), ("t0", pa.int64()), ("t1", pa.int64()), ("hot", pa.bool_())]))
+    count = iter(range(1 << 20))
+    want = [[{"gram": (n := next(count)), "ctx": -n, "pos": p, "t0": n % 7, "t1": n % 11, "hot": n % 3 == 0} for p in row] for row in at]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(range(5), pa.int64()), pa.array(texts, pa.binary()), pa.array(want, kind)], names=["tk", "tl", "text", "wanted"])
+    expected = [(w["gram"], w["ctx"], w["t0"], w["t1"], w["hot"], min(w["pos"], 24), t[max(0, w["pos"] - 24) : w["pos"] + 40]) for t, row in zip(texts[1:], want[1:]) for w in row]
+    del want
+    got, most = [], 0
+    tracemalloc.start()
+    for b in suffix_dedup.around(iter([batch.slice(1)]), 24, 40):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert b.num_rows <= 1024
+        got += zip(*(c.to_pylist() for c in b.columns))
+        tracemalloc.start()
+    tracemalloc.stop()
+    assert got == expected
+    assert most < 8 << 20  # Python's share; of a list of rows' dictionaries it was over 40 MB
+
+
 def test_index_grows_by_batches(spark):
     texts = [t or "" for t in passages(random.Random(21))]
     index = suffix_dedup.RepeatIndex(suffix_dedup.Rule(80), gram=16)
